@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, language_id, secrets, toxicity
+from . import bpe, decontaminate, exact_dedup, language_id, pii, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": secrets.query,
     "op5_decontaminate": decontaminate.query,
     "op6_language_id": language_id.query,
+    "op7_pii": pii.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_bpe": bpe.query,
     "op10_toxicity": toxicity.query,

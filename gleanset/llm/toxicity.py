@@ -38,11 +38,11 @@ class TrainSize:
     clean: int = 900
     chars: int = 100_000
     windows: int = 12  # of a document, in training
-    epochs: int = 6
-    batch: int = 384
+    epochs: int = 9
+    batch: int = 256
     word_docs: int = 4  # a word has a row of its own if so many sampled documents have it; other words share row 0
     seed: int = 3
-    rate: float = 0.01
+    rate: float = 0.02
 
 
 @dataclass
@@ -55,12 +55,27 @@ class Features:
     first: np.ndarray  # by document: its first word; n+1 entries
 
 
-def known_words(texts: pa.Array, least: int) -> np.ndarray:
-    """Sorted hashes of the words that ``least`` texts have."""
+def unalike(texts: pa.Array) -> np.ndarray:
+    """Places of texts with different smallest four-word shingles: one of each group of near copies."""
+    h, owner = Words(*utf8(texts), WORDS).runs(4)
+    least = np.full(len(texts), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, owner, h)
+    return np.sort(np.unique(least, return_index=True)[1])
+
+
+def known_words(texts: pa.Array, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words that ``least`` texts have, and the log-odds of toxic texts given each."""
     w = Words(*utf8(texts), WORDS)
-    pairs = np.unique(np.stack([w.hash, w.doc.astype(np.uint64)], 1), axis=0)[:, 0] if len(w.hash) else w.hash
-    words, n = np.unique(pairs, return_counts=True)
-    return words[n >= least]
+    pairs = np.unique(np.stack([w.hash, w.doc.astype(np.uint64)], 1), axis=0) if len(w.hash) else np.zeros((0, 2), np.uint64)
+    words, place, n = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+    toxic = np.bincount(place, y[pairs[:, 1].astype(int)], len(words))
+    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((n - toxic + 0.5) / ((1 - y).sum() + 1))
+    return words[n >= least], odds[n >= least]
+
+
+def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    for k in range(out.shape[1]):
+        out[:, k] += np.bincount(rows, values[:, k], len(out)).astype(out.dtype)
 
 
 def features(texts: pa.Array, vocabulary: np.ndarray) -> Features:
@@ -202,13 +217,13 @@ class Network:
             g[f"wx{d}"], g[f"bx{d}"] = x[idx].reshape(-1, x.shape[1]).T @ flat, flat.sum(0)
             dx += dproj @ p[f"wx{d}"].T
         per_word = np.zeros_like(x)
-        np.add.at(per_word, idx.ravel(), dx.reshape(-1, x.shape[1]))
+        _add_rows(per_word, idx.ravel(), dx.reshape(-1, x.shape[1]))
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
         used = np.unique(idx)
-        np.add.at(g["word"], f.word[used], per_word[used, :WORD_DIM])
+        _add_rows(g["word"], f.word[used], per_word[used, :WORD_DIM])
         sizes = np.diff(np.append(f.at, len(f.grams)))
         inner = np.arange(int(sizes[used].sum())) - np.repeat(np.cumsum(sizes[used]) - sizes[used], sizes[used])
-        np.add.at(g["char"], f.grams[np.repeat(f.at[used], sizes[used]) + inner], np.repeat(per_word[used, WORD_DIM:] / sizes[used, None], sizes[used], 0))
+        _add_rows(g["char"], f.grams[np.repeat(f.at[used], sizes[used]) + inner], np.repeat(per_word[used, WORD_DIM:] / sizes[used, None], sizes[used], 0))
         loss = -np.mean(y * np.log(prob + 1e-9) + (1 - y) * np.log(1 - prob + 1e-9))
         return float(loss), g
 
@@ -241,9 +256,11 @@ class Adam:
 def fit(texts: list[str], labels: list[int], size: TrainSize = TrainSize()) -> Network:
     """A network fitted on labelled texts; its last bias puts the best cut of the training documents at 0.5."""
     column = pa.array(texts, pa.large_string())
-    net, rng = Network.fresh(size.seed, known_words(column, size.word_docs)), np.random.Generator(np.random.PCG64(size.seed))
-    y = np.array(labels, np.float32)
-    if not len(y) or y.min() == y.max():
+    apart = unalike(column)
+    column, y = column.take(pa.array(apart)), np.array(labels, np.float32)[apart]
+    words, odds = known_words(column, y, size.word_docs)
+    net, rng = Network.fresh(size.seed, words), np.random.Generator(np.random.PCG64(size.seed))
+    if len({*y.tolist()}) < 2:
         net.p["wo"][:] = 0
         net.p["bo"][:] = 4.0 if len(y) and y.min() > 0 else -4.0
         return net
@@ -259,13 +276,20 @@ def fit(texts: list[str], labels: list[int], size: TrainSize = TrainSize()) -> N
         kept[mine if len(mine) <= size.windows or y[d] else rng.choice(mine, size.windows, False)] = True
     kept &= ~aside[doc]
     doc, at, length = doc[kept], at[kept], length[kept]
-    adam, use = Adam(size.rate), np.ones(len(doc), bool)
+    # To begin with, a toxic document's toxic windows are those with its most telling word.
+    tell = np.append(0.0, odds)[f.word]
+    span = np.minimum(at[:, None] + np.arange(WINDOW), len(tell) - 1)
+    told = np.where(np.arange(WINDOW) < length[:, None], tell[span], -np.inf).max(1) if len(at) else np.zeros(0)
+    most = np.full(len(y), -np.inf)
+    np.maximum.at(most, doc, told)
+    use = (y[doc] == 0) | (told >= np.minimum(most[doc], 3.0))
+    adam = Adam(size.rate)
     for epoch in range(size.epochs):
-        if epoch in (2, 3, 5):  # the model's own view of which windows of toxic documents are toxic
+        if epoch in (size.epochs // 3, size.epochs // 2, size.epochs - 2):  # the model's own view of which windows of toxic documents are toxic
             logit = _in_parts(net, f, at, length)
             worst = np.full(len(y), -np.inf)
             np.maximum.at(worst, doc, logit)
-            use = (y[doc] == 0) | (logit >= worst[doc] - 1e-6) | (logit > (1.0 if epoch == 2 else 0.0))
+            use = (y[doc] == 0) | (logit >= worst[doc] - 1e-6) | (logit > 0)
         adam.rate = size.rate * (1 if epoch < size.epochs - 2 else 0.3)
         toxic, clean = np.flatnonzero(use & (y[doc] == 1)), np.flatnonzero(use & (y[doc] == 0))
         # Each epoch has as many toxic windows as half the clean ones at least.

@@ -1,6 +1,61 @@
-"""Corpus pipeline: the stages, in order, each over all that its predecessor kept."""
+"""Corpus pipeline: language identification, exact and near deduplication, decontamination, tokens.
+
+Each stage works on all that its predecessor kept; the stages but the last return the columns of documents.
+"""
+
 from __future__ import annotations
-STAGES = []
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanset.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id
+from gleanset.llm._spark import Scratch, load
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of some learned language: those without letters, or like no language at all, go."""
+    langs, profiles = language_id.learn(docs)
+    return language_id.identify(docs, langs, profiles).where(f"__lang <> '{language_id.UNKNOWN}' AND __cosine > 0").select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays; of rows that repeat id and text, one."""
+    index = exact_dedup.DigestIndex(spark)
+    work = Scratch(spark, "distinct")
+    found = work.keep(exact_dedup.exact_dedup(docs, index), "found")
+    index.drop()
+    out = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    if not found.groupBy("doc_id", "text_sha256").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.select(*docs.columns)
+
+
+def unalike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that of the smallest doc_id."""
+    gone = jaccard_join.jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of the benchmark."""
+    return decontaminate.decontaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the token ids' digest, and that of what they decode to."""
+    return bpe.bpe_digest(docs, *bpe.vocabulary())
+
+
+STAGES = [("language", identified), ("exact", distinct), ("near", unalike), ("benchmark", clean), ("tokens", tokens)]
+
+#: SQL can't express language identification.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, work = load(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = work.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            work.drop(f"{k - 1}-{STAGES[k - 1][0]}")
+    return docs

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import load
+from ._spark import load, text_of
 from ._text import batches
 
 DIMENSIONS = 1024
@@ -136,17 +136,18 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, train_per_lang
     return langs, p
 
 
-def identify(docs: DataFrame, langs: list[str], profiles: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score): the language of the largest cosine, cut to 0..1; ties go to the first by name.
+def identify(df: DataFrame, langs: list[str], profiles: np.ndarray, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``df`` with the columns ``__lang`` and ``__cosine``: the language of the largest cosine, cut to 0..1.
 
-    Defined cases: null, empty and letterless texts are ``und`` with score 0, as is everything where
-    nothing was learned; repeated rows are scored each. ``keep`` passes on other columns unchanged.
+    Ties go to the first language by name. Defined cases: null, empty and letterless texts are ``und``
+    with 0, as is everything where nothing was learned; repeated rows are scored each; other columns pass
+    unchanged.
     """
-    memory, keep = item_memory(profiles.shape[1]), keep or []
+    memory = item_memory(profiles.shape[1])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(parts, "__text"):
-            v, has = encode([t or "" for t in b.column("__text").to_pylist()], memory)
+        for b in _groups(parts, text_col):
+            v, has = encode([t or "" for t in b.column(text_col).to_pylist()], memory)
             if len(langs):
                 cosine = v @ profiles.T
                 best = cosine.argmax(1)
@@ -154,21 +155,24 @@ def identify(docs: DataFrame, langs: list[str], profiles: np.ndarray, id_col: st
                 pred = [langs[i] if h else UNKNOWN for i, h in zip(best.tolist(), has.tolist(), strict=True)]
             else:
                 score, pred = np.zeros(len(has)), [UNKNOWN] * len(has)
-            columns = [b.column(c) for c in b.schema.names if c != "__text"]
-            names = [c for c in b.schema.names if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            names = [c for c in b.schema.names if keep_text or c != text_col]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(pred, pa.string()), pa.array(score)], [*names, "__lang", "__cosine"])
 
-    df = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "__text")
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != text_col)
+    return df.mapInArrow(run, f"{schema}, __lang string, __cosine double")
+
+
+def learn(docs: DataFrame, dimensions: int = DIMENSIONS, train_per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], np.ndarray]:
+    """Prototypes from the labelled rows of a documents table that are not held out."""
+    labelled = docs.where(~held_out_rows()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return prototypes(labelled, dimensions, train_per_lang)
 
 
 def language_id(docs: DataFrame, dimensions: int = DIMENSIONS, train_per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; learned from the rows that are not held out."""
-    labelled = docs.where(~held_out_rows()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    langs, profiles = prototypes(labelled, dimensions, train_per_lang)
-    found = identify(docs, langs, profiles)
-    return found.select("doc_id", held_out_rows().alias("held_out"), "lang_pred", "score")
+    langs, profiles = learn(docs, dimensions, train_per_lang)
+    found = identify(text_of(docs, "doc_id", "text"), langs, profiles, keep_text=False)
+    return found.select("doc_id", held_out_rows().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__cosine").alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, language_id, licenses, pii, secrets, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, licenses, pii, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_license_scan": licenses.query,
+    "op3_jaccard_join": jaccard_join.query,
     "op4_secret_scan": secrets.query,
     "op5_decontaminate": decontaminate.query,
     "op6_language_id": language_id.query,

@@ -141,11 +141,11 @@ def split_in_two(df: DataFrame, by: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(value, "row_id")
     whole = Window.partitionBy(*by)
     x = df.withColumn("__n", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__s", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("__N", F.count(F.lit(1)).over(whole)).withColumn("__S", F.sum(value).over(whole))
-    between = F.when(F.col("__n") < F.col("__N"), F.col("__s") * F.col("__s") / F.col("__n") + (F.col("__S") - F.col("__s")) * (F.col("__S") - F.col("__s")) / (F.col("__N") - F.col("__n")))
+    x = x.withColumn("__all", F.count(F.lit(1)).over(whole)).withColumn("__total", F.sum(value).over(whole))
+    between = F.when(F.col("__n") < F.col("__all"), F.col("__s") * F.col("__s") / F.col("__n") + (F.col("__total") - F.col("__s")) * (F.col("__total") - F.col("__s")) / (F.col("__all") - F.col("__n")))
     x = x.withColumn("__b", F.coalesce(F.round(between, 9), F.lit(-1.0)))
-    cut = F.max_by(F.col("__n"), F.struct("__b", -F.col("__n"))).over(whole)
-    return x.withColumn("high", (F.col("__n") > cut) & (F.col("__N") > 1)).drop("__n", "__s", "__N", "__S", "__b")
+    x = x.withColumn("__cut", -F.max(F.struct(F.col("__b").alias("b"), (-F.col("__n")).alias("n"))).over(whole).getField("n"))
+    return x.withColumn("high", (F.col("__n") > F.col("__cut")) & (F.col("__all") > 1)).drop("__cut").drop("__n", "__s", "__all", "__total", "__b")
 
 
 def ctrl_flags(curves: DataFrame, epochs: int, windows: int = 1, threshold: float = 1.0, smooth: int = 5) -> DataFrame:

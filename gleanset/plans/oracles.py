@@ -131,7 +131,24 @@ er{t} AS (SELECT {t} AS trial, sqrt(sum((a - coalesce(b, 0)) * (a - coalesce(b,
     for t in range(3)
 )
 
+def pure_groups(trees: int) -> str:
+    """Pure groups level by level: rows of groups that are neither pure nor single go on."""
+    path = lambda i: " || '_' || ".join(f"(embedding[{k}] > 0)::INT::VARCHAR" for k in range(1, i + 2))
+    out, picks = "WITH s0 AS (SELECT * FROM embeddings)", []
+    for i in range(trees):
+        out += f""", g{i} AS (SELECT {path(i)} AS path, count(*) AS size, min(label) AS lo, max(label) AS hi FROM s{i} GROUP BY 1 HAVING count(*) > 1),
+s{i + 1} AS (SELECT * FROM s{i} WHERE {path(i)} IN (SELECT path FROM g{i} WHERE lo <> hi))"""
+        picks.append(f"SELECT {i} AS level, path, lo AS label, size FROM g{i} WHERE lo = hi")
+    return out + " " + " UNION ALL ".join(picks)
+
+
 SQL = {
+    "coretab_groups": pure_groups(8),
+    "leaf_homogeneity": f"""WITH r AS (SELECT row_number() OVER () AS id, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS label, * FROM lineitem),
+x AS ({" UNION ALL ".join(f"SELECT id, label, {t} AS tree, floor({c})::INT AS leaf FROM r" for t, c in enumerate(("l_quantity / 10", "l_extendedprice / 2000", "l_discount * 20 + 0.5")))}),
+k AS (SELECT tree, leaf, sum(n) AS size, max(n) AS top FROM (SELECT tree, leaf, label, count(*) AS n FROM x GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT id, label, CASE WHEN top / size >= 0.55 THEN CASE WHEN size >= 5 THEN 0.25 ELSE 1 END ELSE 2 END AS v FROM x JOIN k USING (tree, leaf))
+SELECT label, score, count(*) AS n FROM (SELECT id, label, round(avg(v::DOUBLE), 6) AS score FROM c GROUP BY ALL) GROUP BY ALL""",
     "scan_points": "SELECT vec_id AS row_id, label, len(embedding) AS d, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm, label AS hot FROM embeddings",
     "label_encode": "SELECT l_returnflag AS value, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS id, count(*) AS n FROM lineitem GROUP BY l_returnflag",
     "label_lookup_fallback": """WITH d AS (SELECT p_brand AS v, row_number() OVER (ORDER BY p_brand) - 1 AS id FROM (SELECT DISTINCT p_brand FROM part WHERE p_size <= 10 AND p_brand <> 'Brand#3'))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanset.functions import vectors as V
 from gleanset.functions.hashing import hash_int, hash_order
-from gleanset.operators import budget, distance, encode, noise, quality, sample, scoring, select, stats
+from gleanset.operators import budget, coreset, distance, encode, noise, quality, sample, scoring, select, stats, trees
 from gleanset.sources.points import embeddings, lineitem_points
 
 C = 10  # classes of the embeddings table
@@ -407,6 +407,42 @@ def coreset_slice(s, d):
     return distance.representative_weights(distance.nearest(e, reps), reps)
 
 
+# Trees and composed methods.
+def leaf_homogeneity(s, d):
+    """Leaf scores of lineitem, with three bucketed columns for trees."""
+    li = lineitem_points(s, d)
+    f = F.col("features")
+    leaves = F.array(F.floor(f[0] / 10), F.floor(f[1] / 2000), F.floor(f[2] * 20 + 0.5)).cast("array<int>")
+    x = trees.leaf_scores(li.withColumn("leaves", leaves), 5, 0.55)
+    return x.groupBy("label", r6(F.col("score"), "score")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sign_leaves(s, d):
+    return embeddings(s, d).withColumn("leaves", F.transform(F.slice("features", 1, 8), lambda x: (x > 0).cast("int")))
+
+
+def coretab_groups(s, d):
+    return trees.pure_groups(_sign_leaves(s, d), 8)
+
+
+def coretab_thinned(s, d):
+    return trees.thinned(_sign_leaves(s, d), 8, 0.03, 10).select("row_id", "label")
+
+
+def coretab_datamap(s, d):
+    return trees.datamap_coreset(embeddings(s, d), C, 0.1, 10, 3).select("row_id", "label", "sample_weight")
+
+
+def pipeline_misdetect_coretab(s, d):
+    return coreset.misdetect_then_trees(embeddings(s, d), C, 0.1)
+
+
+def quality_coreset(s, d):
+    """The staged loop over noisy embeddings."""
+    noisy = noise.random_noise(embeddings(s, d), 0.2, C).select("row_id", "features", "label")
+    return coreset.quality_coreset(noisy, C, coreset.Config(stages=2, most_repairs=20))[0].select("row_id", "label", r6(F.col("sample_weight"), "sample_weight"))
+
+
 # Experiments.
 def experiment_pivot(s, d):
     o = _t(s, d, "orders")
@@ -439,6 +475,7 @@ QUERIES = {
         confident_thresholds, confident_joint, label_issues, misdetect_rounds, knn_label_disagreement, loss_moving_average, ctrl_flags, early_stop_fold,
         deem_blend_labels, deem_history_labels, dirty_detection, label_candidates, soft_label_ema, label_decision, feature_core_concentration, mixed_and_clean_weights,
         nearest_center_map, coreset_weights, coreset_error, deem_topk_cosine, herding_per_class, goodcore_greedy, weighted_coverage, gradmatch_omp,
-        random_trial_coreset, incremental_blocks, rep_replacement, farthest_first, coreset_slice, experiment_pivot, experiment_transpose, job_matrix,
+        random_trial_coreset, incremental_blocks, rep_replacement, farthest_first, coreset_slice, leaf_homogeneity, coretab_groups, coretab_thinned,
+        coretab_datamap, pipeline_misdetect_coretab, quality_coreset, experiment_pivot, experiment_transpose, job_matrix,
     )
 }

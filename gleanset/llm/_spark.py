@@ -31,6 +31,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.at}/{name}")
+        # The table replaces its lineage: shuffle files of finished steps go once the driver forgets them.
+        self.spark.sparkContext._jvm.System.gc()
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:

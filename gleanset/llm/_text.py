@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Batches hold at most so many bytes of text, or one document.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

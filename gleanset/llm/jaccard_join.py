@@ -7,9 +7,10 @@ d = 1 - Jaccard is a metric, and documents link when d <= r = 0.15 (100 * |A and
 2. *Cells.* By the prefix bound, linked sets share one of their first n - ceil(0.85 n) + 1 shingles in
    that order. Classes that share no such cell with another have no links and leave.
 3. *Voronoi regions.* In rounds, classes with the same min-hash meet (hot ones in salted groups); the first
-   become pivots, and every other class joins the region of its nearest pivot within r, at an exact
-   distance, linked to every pivot within r. So a large group of near copies costs a few comparisons
-   for each of its members, not all pairs.
+   become pivots, and every other class is paired with the pivots that may be within r. Pairs are then
+   compared exactly: a class joins the region of its nearest pivot within r and is linked to every
+   pivot within r. So a large group of near copies costs a few comparisons for each of its
+   members, not all pairs.
 4. *Windows.* Two regions p, q that share a cell and aren't connected yet are compared by their pivots. By
    the triangle inequality they can have a link only if d(p, q) <= r + radius(p) + radius(q).
    Regions without other members are decided by that distance; of the others, members x of p
@@ -17,6 +18,9 @@ d = 1 - Jaccard is a metric, and documents link when d <= r = 0.15 (100 * |A and
 5. *Recursion.* Within such pairs, members are compared with the other region's pivot first; pairs that
    this doesn't connect compare the windows' members that share a cell, exactly.
 
+Before sets are fetched, pairs pass a bound of some n/3 bytes a set: counts of shingles by hash bucket, whose
+bucket-wise minima add up to no less than the intersection. Only sets of surviving pairs are ever shuffled.
+
 Links between different texts are lost nowhere: what isn't compared is already connected, or excluded by the
 prefix bound, the sizes or the triangle inequality. Components come from alternating stars.
 """
@@ -87,6 +91,25 @@ def bucket_ranks(texts: DataFrame, shingle: int) -> np.ndarray:
     return rank
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles by low hash bits, some 2 to 4 a bucket; empty if a count doesn't fit a byte."""
+    m = 32
+    while m * 4 < len(s) and m < 1 << 16:
+        m *= 2
+    c = np.bincount((mix(s) & U(m - 1)).astype(np.int64), minlength=m)
+    return b"" if len(s) and c.max() > 255 else c.astype(np.uint8).tobytes()
+
+
+def most_common(a: bytes, na: int, b: bytes, nb: int) -> int:
+    """No less than the size of the intersection of two sets of which only signatures and sizes are known."""
+    if not a or not b:
+        return min(na, nb)
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    m = min(len(x), len(y))
+    x, y = (v if len(v) == m else v.reshape(-1, m).sum(0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
 def _profile(rank: np.ndarray, shingle: int, percent: int):
     """By document: size, fingerprint, min-hash keys and prefix of its set."""
 
@@ -105,7 +128,8 @@ def _profile(rank: np.ndarray, shingle: int, percent: int):
             take = np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
             first = np.repeat(o[:-1] - np.concatenate([[0], np.cumsum(take)[:-1]]), take) + np.arange(int(take.sum()))
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(s[first].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), *[pa.array(c.view(np.int64)) for c in cols], prefix], ["doc_id", "n", "f1", "f2", "m0", "m1", "m2", "prefix"])
+            sig = pa.array([signature(s[x:y]) for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), *[pa.array(c.view(np.int64)) for c in cols], prefix, sig], ["doc_id", "n", "f1", "f2", "m0", "m1", "m2", "prefix", "sig"])
 
     return run
 
@@ -132,31 +156,44 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def _cover(percent: int):
-    """Groups arrive sorted by (key, salt, pivot first, doc_id): each class joins its nearest pivot within r."""
+def _meet(percent: int):
+    """Groups arrive sorted by (key, salt, pivot first, doc_id): each class is paired with the pivots that may be within r.
+
+    A class that no pivot may cover becomes one, up to ``PIVOTS`` a group.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pivots = None, []
         for b in parts:
             out = []
-            for key, salt, doc, s in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "doc_id", "s")), strict=True):
+            for key, salt, doc, n, sig in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "doc_id", "n", "sig")), strict=True):
                 if (key, salt) != group:
                     group, pivots = (key, salt), []
-                mine = np.frombuffer(s, U)
-                linked = []
-                for p, other in pivots:
-                    n, m = len(mine), len(other)
+                near = []
+                for p, m, other in pivots:
                     if p != doc and 100 * min(n, m) >= percent * max(n, m):
-                        i = common(mine, other)
+                        i = most_common(sig, n, other, m)
                         if 100 * i >= percent * (n + m - i):
-                            linked.append((i / (n + m - i), p))
-                if linked:
-                    nearest = max(linked)
-                    out += [(doc, p, 1 - j, (j, p) == nearest) for j, p in linked]
-                elif len(pivots) < PIVOTS:
-                    pivots.append((doc, mine))
+                            near.append((doc, p))
+                out += near
+                if not near and len(pivots) < PIVOTS:
+                    pivots.append((doc, n, sig))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["doc_id", "pivot", "d", "nearest"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
+def _may_reach(r: float):
+    """Of pairs with signatures and radii those whose distance may be r + both radii at most."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            keep = []
+            for sa, na, sb, nb, ra, rb in zip(*(b.column(c).to_pylist() for c in ("sig_a", "n_a", "sig_b", "n_b", "radius_a", "radius_b")), strict=True):
+                i = most_common(sa, na, sb, nb)
+                keep.append(1 - i / (na + nb - i) <= r + ra + rb + 1e-9)
+            yield b.select(["a", "b", "radius_a", "radius_b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -184,7 +221,12 @@ class Join:
 
     def compared(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b, ...) with d = 1 - Jaccard and whether they link, written to the shared folder."""
-        s = self.sets
+        pairs = self.work.keep(pairs, f"{name}-pairs")
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        wanted = KeyFilter(ids.select(F.xxhash64("doc_id").alias("hid")), "hid")
+        found = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("hid")).mapInArrow(_sets_of(self.rank, self.shingle, wanted), "doc_id long, s binary")
+        # Rows that repeat an id (with one text or several) count as one document: the first set found.
+        s = found.groupBy("doc_id").agg(F.first("s").alias("s")) if self.repeated else found
         both = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema if f.name not in ("sa", "sb"))
         out = both.mapInArrow(_compare, f"{kinds}, i long, na long, nb long")
@@ -193,13 +235,14 @@ class Join:
     def run(self) -> DataFrame:
         work = self.work
         self.rank = bucket_ranks(self.docs.select("text"), self.shingle)
-        profile = work.keep(self.docs.mapInArrow(_profile(self.rank, self.shingle, self.percent), "doc_id long, n long, f1 long, f2 long, m0 long, m1 long, m2 long, prefix array<long>"), "profile")
+        profile = work.keep(self.docs.mapInArrow(_profile(self.rank, self.shingle, self.percent), "doc_id long, n long, f1 long, f2 long, m0 long, m1 long, m2 long, prefix array<long>, sig binary"), "profile")
+        self.repeated = not profile.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
         known = profile.where("n > 0 AND doc_id IS NOT NULL")
-        classes = work.keep(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("m0", "m1", "m2", "prefix")]), "classes")
+        classes = work.keep(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("m0", "m1", "m2", "prefix", "sig")]), "classes")
         cells = classes.select("rep", F.explode("prefix").alias("cell"))
         shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cell")
         self.cells = work.keep(cells.join(shared.hint("merge"), "cell").select("cell", F.col("rep").alias("doc_id")), "cells")
-        active = work.keep(self.cells.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id"), "n", "m0", "m1", "m2"), "doc_id"), "active")
+        active = work.keep(self.cells.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id"), "n", "m0", "m1", "m2", "sig"), "doc_id"), "active")
         labels = self._labels(active)
         named = classes.select("f1", "f2", F.col("n").alias("n_"), "rep")
         if labels is not None:
@@ -211,7 +254,7 @@ class Join:
         linked = known.alias("p").join(named.hint("merge").alias("c"), mine).select("doc_id", F.col("n").alias("n_shingles"), "component")
         rest = profile.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component"))
         out = work.keep(linked.union(rest).withColumnRenamed("component", "component_id"), "result")
-        work.drop(*[x for x in ("profile", "classes", "cells", "active", "named", "sets", "covered")])
+        work.drop(*[x for x in ("profile", "classes", "cells", "active", "named")])
         return out
 
     def _labels(self, active: DataFrame) -> DataFrame | None:
@@ -219,14 +262,15 @@ class Join:
         work = self.work
         if active.isEmpty():
             return None
-        ids = active.select(F.xxhash64("doc_id").alias("hid"))
-        found = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("hid")).mapInArrow(_sets_of(self.rank, self.shingle, KeyFilter(ids, "hid")), "doc_id long, s binary")
-        self.sets = work.keep(found.join(active.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
-        covered = self._regions(active)
+        met = self._regions(active)
+        if met.isEmpty():
+            covered = met.selectExpr("a AS doc_id", "b AS pivot", "0D AS d")
+        else:
+            covered = self.compared(met, "covered").where("link").select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "d")
         links = covered.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
         labels = components(links, work, "after-regions")
         # Every class's region: its nearest pivot, or itself.
-        near = covered.where("nearest").groupBy("doc_id").agg(F.min_by("pivot", F.struct("round", "pivot")).alias("pivot"), F.min_by("d", F.struct("round", "pivot")).alias("d"))
+        near = covered.groupBy("doc_id").agg(F.min_by("pivot", F.struct("d", "pivot")).alias("pivot"), F.min("d").alias("d"))
         region = active.select("doc_id", "n").join(near, "doc_id", "left").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         pivots = covered.select(F.col("pivot").alias("doc_id")).distinct().withColumn("heads", F.lit(True))
         # A pivot heads its own region, also if another pivot covered it later.
@@ -235,7 +279,9 @@ class Join:
             F.when(F.col("heads"), 0.0).otherwise(F.coalesce("d", F.lit(0.0))).alias("d"), F.coalesce("component", "doc_id").alias("component"),
         )
         region = work.keep(region, "region")
-        met = work.keep(self._met(region), "met")
+        met = work.keep(self._met(region, active), "met")
+        if met.isEmpty():
+            return labels
         decided = self.compared(met, "decided")
         more = decided.where("link").select("a", "b")
         edge = decided.where(~F.col("link") & (F.col("radius_a") + F.col("radius_b") > 0) & (F.col("d") <= self.r + F.col("radius_a") + F.col("radius_b") + 1e-9))
@@ -249,24 +295,25 @@ class Join:
         return labels
 
     def _regions(self, active: DataFrame) -> DataFrame:
-        """(doc_id, pivot, d, nearest, round): links of classes with the pivots that cover them."""
-        work, left = self.work, active.select("doc_id", "m0", "m1", "m2", F.lit(False).alias("pivot"))
+        """(a, b): classes and the pivots that may cover them, from rounds over different min-hashes."""
+        work, left = self.work, active.withColumn("pivot", F.lit(False))
         out = None
         for k in range(ROUNDS):
-            keyed = left.select("doc_id", F.col(f"m{k}").alias("key"), "pivot")
+            keyed = left.select("doc_id", F.col(f"m{k}").alias("key"), "pivot", "n", "sig")
             groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.ceil(F.col("k") / GROUP).cast("int").alias("salts"))
-            dealt = keyed.join(groups, "key").select("doc_id", "key", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(F.lit(0)).cast("long").alias("salt"), (~F.col("pivot")).cast("int").alias("late"))
-            rows = dealt.join(self.sets, "doc_id")
-            near = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "late", "doc_id").select("key", "salt", "doc_id", "s").mapInArrow(_cover(self.percent), "doc_id long, pivot long, d double, nearest boolean")
-            now = work.keep(near.withColumn("round", F.lit(k)), f"covered/round={k}/x")
+            salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(F.lit(0)).cast("long")
+            dealt = keyed.join(groups, "key").select("key", salt.alias("salt"), (~F.col("pivot")).cast("int").alias("late"), "doc_id", "n", "sig")
+            pairs = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "late", "doc_id").select("key", "salt", "doc_id", "n", "sig").mapInArrow(_meet(self.percent), "a long, b long")
+            now = work.keep(pairs, f"round-{k}")
             out = now if out is None else out.union(now)
             if k + 1 < ROUNDS:
-                gone, heads = now.select("doc_id").distinct(), out.select(F.col("pivot").alias("doc_id")).distinct().withColumn("is_pivot", F.lit(True))
-                left = work.keep(left.drop("pivot").join(gone, "doc_id", "left_anti").join(heads, "doc_id", "left").select("doc_id", "m0", "m1", "m2", F.coalesce("is_pivot", F.lit(False)).alias("pivot")), f"left-{k}")
-        return out
+                gone, heads = now.select(F.col("a").alias("doc_id")).distinct(), out.select(F.col("b").alias("doc_id")).distinct().withColumn("is_pivot", F.lit(True))
+                rest = left.drop("pivot").join(gone, "doc_id", "left_anti").join(heads, "doc_id", "left")
+                left = work.keep(rest.withColumn("pivot", F.coalesce("is_pivot", F.lit(False))).drop("is_pivot"), f"left-{k}")
+        return out.distinct()
 
-    def _met(self, region: DataFrame) -> DataFrame:
-        """Pairs (a, b) of unconnected regions that share a cell and may match in size, with their radii."""
+    def _met(self, region: DataFrame, active: DataFrame) -> DataFrame:
+        """Pairs (a, b) of unconnected regions that share a cell and may match, with their radii."""
         sizes = region.groupBy("region").agg(F.max("d").alias("radius"))
         rows = self.cells.join(region.select("doc_id", "n", "region", "component"), "doc_id")
         rows = rows.groupBy("cell", "region").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("component").alias("component"))
@@ -275,7 +322,10 @@ class Join:
         a, b = (rows.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("region", "lo", "hi", "component", "radius")]) for s in "ab")
         fits = (F.col("hi_a") * 100 >= F.col("lo_b") * self.percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * self.percent)
         pairs = a.hint("merge").join(b.hint("merge"), "cell").where((F.col("region_a") < F.col("region_b")) & (F.col("component_a") != F.col("component_b")) & fits)
-        return pairs.groupBy(F.col("region_a").alias("a"), F.col("region_b").alias("b")).agg(F.max("radius_a").alias("radius_a"), F.max("radius_b").alias("radius_b"))
+        pairs = pairs.groupBy(F.col("region_a").alias("a"), F.col("region_b").alias("b")).agg(F.max("radius_a").alias("radius_a"), F.max("radius_b").alias("radius_b"))
+        for c in "ab":
+            pairs = pairs.join(active.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")), c)
+        return pairs.mapInArrow(_may_reach(self.r), "a long, b long, radius_a double, radius_b double")
 
     def _open(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs whose ends aren't connected yet."""

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
+from gleanset.llm import components as components_module
 from gleanset.llm import jaccard_join as jj
 from gleanset.llm._spark import Scratch
 from gleanset.llm.components import components
@@ -81,7 +83,9 @@ def test_salted_groups_of_near_copies(spark, docs_of, monkeypatch):
     assert got(jj.jaccard_join(docs_of(rows))) == brute(rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 1 << 21])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components_module, "IN_ONE_TASK", most)
     rnd = np.random.Generator(np.random.PCG64(1))
     edges = [(int(a), int(b)) for a, b in rnd.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
     top = {}

@@ -160,7 +160,7 @@ SELECT c_custkey, round(CASE WHEN c_acctbal < lo OR c_acctbal > hi THEN m ELSE c
     "standardize": f"""WITH {E}, {P}, st AS (SELECT i, avg(v) AS m, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS s FROM p GROUP BY i), z AS (SELECT row_id, i, (v - m) / s AS z FROM p JOIN st USING (i))
 SELECT row_id, round(max(z) FILTER (WHERE i = 1), 6) AS z0, round(max(z) FILTER (WHERE i = 64), 6) AS z63, round(sum(z), 6) AS z_sum FROM z GROUP BY row_id""",
     "row_l2": f"""WITH {E}, {P}, s AS (SELECT row_id, sqrt(sum(v * v)) * (row_id % 7) AS n FROM p GROUP BY row_id)
-SELECT row_id, round(v * (row_id % 7) / CASE WHEN n < 1e-12 THEN 1 ELSE n END, 6) AS x0, CASE WHEN n < 1e-12 THEN 0.0 ELSE 1.0 END AS norm FROM p JOIN s USING (row_id) WHERE i = 1""",
+SELECT row_id, round(v * (row_id % 7) / CASE WHEN n < 1e-12 THEN 1 ELSE n END, 6) + 0.0::DOUBLE AS x0, CASE WHEN n < 1e-12 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm FROM p JOIN s USING (row_id) WHERE i = 1""",
     "center_by_class": f"""WITH {E}, {P}, m AS (SELECT label, i, avg(v) AS m FROM p GROUP BY ALL), x AS (SELECT row_id, p.label, i, v - m AS v FROM p JOIN m USING (label, i))
 SELECT row_id, label, round(max(v) FILTER (WHERE i = 1), 6) AS x0, round(sqrt(sum(v * v)), 6) AS norm FROM x GROUP BY ALL""",
     "minmax01": "SELECT o_orderkey, round((o_totalprice - lo) / (hi - lo), 6) AS scaled FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)",
@@ -241,7 +241,7 @@ SELECT row_id, round(CASE WHEN dirty AND row_id % 2 = 0 THEN CASE WHEN w * 0.5 <
     "nearest_center_map": f"{NEAR} SELECT row_id, rep_id, round(d2, 6) AS d2 FROM nn",
     "coreset_weights": f"{NEAR} SELECT r.row_id AS rep_id, count(nn.row_id)::DOUBLE AS sample_weight FROM reps r LEFT JOIN nn ON nn.rep_id = r.row_id GROUP BY r.row_id",
     "coreset_error": f"""{NEAR}, {P}, w AS (SELECT rep_id AS row_id, count(*) AS w FROM nn GROUP BY rep_id), x AS (SELECT i, sum(v) AS a, sum(v * w) AS b FROM p LEFT JOIN w USING (row_id) GROUP BY i)
-SELECT round(sqrt(sum((a - b) * (a - b))) / (sqrt(sum(a * a)) + 1e-12), 6) AS gradient_error, 0.0 AS weight_error FROM x""",
+SELECT round(sqrt(sum((a - b) * (a - b))) / (sqrt(sum(a * a)) + 1e-12), 6) AS gradient_error, 0.0::DOUBLE AS weight_error FROM x""",
     "deem_topk_cosine": f"""{RES}, m AS (SELECT c, avg(g) AS m FROM g GROUP BY c), x AS (SELECT row_id, sum(g * m) AS d, sum(g * g) AS n, sqrt(sum(m * m)) AS nm FROM g JOIN m USING (c) GROUP BY row_id),
 t AS (SELECT row_id, greatest(0, d / (n + 1e-12)) AS w FROM x QUALIFY row_number() OVER (ORDER BY abs(d) / (sqrt(n) * (nm + 1e-12) + 1e-12) DESC, row_id) <= 50)
 SELECT row_id, round(CASE WHEN w > 0 THEN w / sum(w) OVER () * 50 ELSE 1 END, 6) AS sample_weight FROM t""",
@@ -250,7 +250,7 @@ SELECT c, 0, m, []::BIGINT[] FROM mu UNION ALL
 SELECT h.label, h.r + 1, list_transform(list_zip(h.w, mu.m, b.f), lambda z: z[1] + z[2] - z[3]), list_append(h.used, b.row_id)
 FROM h JOIN mu ON mu.c = h.label JOIN al ON al.label = h.label, LATERAL (SELECT row_id, f FROM e x WHERE x.label = h.label AND NOT list_contains(h.used, x.row_id) ORDER BY list_dot_product(x.f, h.w) DESC, row_id LIMIT 1) b WHERE h.r < al.k)
 SELECT h.label, r - 1 AS pick, used[r] AS row_id, round(n / k, 6) AS sample_weight FROM h JOIN al USING (label) WHERE r > 0""",
-    "random_trial_coreset": f"{RES}, {TRIALS} SELECT trial, round(ge, 6) AS gradient_error, 0.0 AS weight_error FROM (SELECT * FROM er0 UNION ALL SELECT * FROM er1 UNION ALL SELECT * FROM er2)",
+    "random_trial_coreset": f"{RES}, {TRIALS} SELECT trial, round(ge, 6) AS gradient_error, 0.0::DOUBLE AS weight_error FROM (SELECT * FROM er0 UNION ALL SELECT * FROM er1 UNION ALL SELECT * FROM er2)",
     "rep_replacement": f"""{NEAR}, cost AS (SELECT a.rep_id, a.row_id, sum({sqd('x.f', 'y.f')}) AS cost FROM nn a JOIN nn b ON a.rep_id = b.rep_id JOIN e x ON x.row_id = a.row_id JOIN e y ON y.row_id = b.row_id GROUP BY ALL)
 SELECT rep_id, arg_min(row_id, {{'c': round(cost, 9), 'r': row_id}}) AS new_rep FROM cost GROUP BY rep_id""",
     "coreset_slice": f"""WITH {E}, {P}, st AS (SELECT i, avg(v) AS m, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS s FROM p GROUP BY i),

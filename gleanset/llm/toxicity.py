@@ -227,7 +227,7 @@ class Network:
         loss = -np.mean(y * np.log(prob + 1e-9) + (1 - y) * np.log(1 - prob + 1e-9))
         return float(loss), g
 
-    def scores(self, f: Features, docs: int, most: int = 8192) -> np.ndarray:
+    def scores(self, f: Features, docs: int, most: int = 2048) -> np.ndarray:
         """By document: the largest logit of its windows; -inf without words."""
         out = np.full(docs, -np.inf)
         doc, at, size = windows(f.first)
@@ -326,8 +326,8 @@ def _gather(f: Features, at: np.ndarray, length: np.ndarray) -> tuple[Features,
 
 def _in_parts(net: Network, f: Features, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     out, x = np.zeros(len(at), np.float32), net.inputs(f)
-    for a in range(0, len(at), 8192):
-        out[a : a + 8192] = net.forward(x, at[a : a + 8192], length[a : a + 8192])[0]
+    for a in range(0, len(at), 2048):
+        out[a : a + 2048] = net.forward(x, at[a : a + 2048], length[a : a + 2048])[0]
     return out
 
 

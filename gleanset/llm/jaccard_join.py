@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +41,12 @@ from .components import components
 
 SHINGLE = 4
 PERCENT = 85
-ROUNDS = 3
+ROUNDS = 4
 #: A min-hash group beyond this size is dealt over so many groups, each with pivots of its own.
 GROUP = 2000
 PIVOTS = 8
+#: Pivots are chosen among so many classes of a group.
+LOOK = 96
 BUCKETS = 1 << 16
 _LOW48 = U((1 << 48) - 1)
 _KEYS = [U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)]
@@ -156,30 +159,75 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+def _near(x: tuple[int, int, bytes], y: tuple[int, int, bytes], percent: int) -> bool:
+    """Whether two classes (id, size, signature) may be within r."""
+    n, m = x[1], y[1]
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    i = most_common(x[2], n, y[2], m)
+    return 100 * i >= percent * (n + m - i)
+
+
+def central(first: list[tuple[int, int, bytes]], percent: int) -> list[tuple[int, int, bytes]]:
+    """Pivots from a group's first classes: again and again the one that may cover most of those left (two at least)."""
+    k = len(first)
+    near = np.zeros((k, k), bool)
+    for i in range(k):
+        for j in range(i):
+            near[i, j] = near[j, i] = _near(first[i], first[j], percent)
+    left, out = np.ones(k, bool), []
+    while len(out) < PIVOTS:
+        gain = (near & left[None, :]).sum(1) * left
+        i = int(gain.argmax())
+        if not gain[i]:
+            break
+        out.append(first[i])
+        left &= ~near[i]
+        left[i] = False
+    return out
+
+
 def _meet(percent: int):
-    """Groups arrive sorted by (key, salt, pivot first, doc_id): each class is paired with the pivots that may be within r.
+    """Groups arrive sorted by key and salt, earlier pivots first: each class is paired with the pivots that may be within r.
 
-    A class that no pivot may cover becomes one, up to ``PIVOTS`` a group.
+    The pivots of a group are the most central of its first ``LOOK`` classes.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, pivots = None, []
+        group, first, pivots, out = None, [], None, []
+
+        def place(x: tuple[int, int, bytes]) -> None:
+            out.extend((x[0], p[0]) for p in pivots if p[0] != x[0] and _near(x, p, percent))
+
+        def settle() -> None:
+            """Choose the pivots and place the classes that waited; pivots aren't placed."""
+            nonlocal pivots, first
+            pivots = central(first, percent)
+            heads = {p[0] for p in pivots}
+            for x in first:
+                if x[0] not in heads:
+                    place(x)
+            first = []
+
         for b in parts:
-            out = []
-            for key, salt, doc, n, sig in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "doc_id", "n", "sig")), strict=True):
+            for key, salt, *x in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "doc_id", "n", "sig")), strict=True):
                 if (key, salt) != group:
-                    group, pivots = (key, salt), []
-                near = []
-                for p, m, other in pivots:
-                    if p != doc and 100 * min(n, m) >= percent * max(n, m):
-                        i = most_common(sig, n, other, m)
-                        if 100 * i >= percent * (n + m - i):
-                            near.append((doc, p))
-                out += near
-                if not near and len(pivots) < PIVOTS:
-                    pivots.append((doc, n, sig))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                    if pivots is None and first:
+                        settle()
+                    group, first, pivots = (key, salt), [], None
+                if pivots is None:
+                    first.append(tuple(x))
+                    if len(first) == LOOK:
+                        settle()
+                else:
+                    place(tuple(x))
+            if len(out) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out.clear()
+        if pivots is None and first:
+            settle()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     return run
 
@@ -198,6 +246,30 @@ def _may_reach(r: float):
     return run
 
 
+def _look(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Members of a (salted) region that may be within ``to`` of another region's pivot, from distance ``from`` on.
+
+    Only pairs that pass the signatures' bound come out.
+    """
+    out: list[tuple[int, int, int]] = []
+    if len(members) and len(asked):
+        region, ids, far, size = int(members["region"].iloc[0]), members["doc_id"].to_numpy(), members["dm"].to_numpy(), members["n"].to_numpy()
+        sigs = members["sig"].tolist()
+        by = {k: np.flatnonzero([len(x) == k for x in sigs]) for k in {len(x) for x in sigs}}
+        tables = {k: np.stack([np.frombuffer(sigs[i], np.uint8) for i in at]).astype(np.int64) for k, at in by.items() if k}
+        for other, n, sig, least, most in asked[["other", "n", "sig", "from", "to"]].itertuples(index=False):
+            for k, at in by.items():
+                if k and sig:
+                    m = min(k, len(sig))
+                    x, y = tables[k].reshape(len(at), -1, m).sum(1), np.frombuffer(sig, np.uint8).astype(np.int64).reshape(-1, m).sum(0)
+                    i = np.minimum(x, y).sum(1)
+                else:
+                    i = np.minimum(size[at], n)
+                near = (far[at] >= least) & (1 - i / (size[at] + n - i) <= most)
+                out += [(int(d), int(other), region) for d in ids[at[near]] if d != other]
+    return pd.DataFrame(out, columns=["doc_id", "other", "region"])
+
+
 def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the intersection's size, and the sizes, to rows with two sets."""
     for b in parts:
@@ -291,7 +363,7 @@ class Join:
         labels = components(all_links, work, "after-pivots")
         edge = work.keep(self._open(edge.select("a", "b", "d", "radius_a", "radius_b"), labels), "edge")
         if not edge.isEmpty():
-            labels = self._windows(region, edge, all_links, labels)
+            labels = self._windows(region, active, edge, all_links, labels)
         return labels
 
     def _regions(self, active: DataFrame) -> DataFrame:
@@ -299,11 +371,11 @@ class Join:
         work, left = self.work, active.withColumn("pivot", F.lit(False))
         out = None
         for k in range(ROUNDS):
-            keyed = left.select("doc_id", F.col(f"m{k}").alias("key"), "pivot", "n", "sig")
+            keyed = left.select("doc_id", F.col(f"m{k % 3}").alias("key"), "pivot", "n", "sig")
             groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.ceil(F.col("k") / GROUP).cast("int").alias("salts"))
-            salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(F.lit(0)).cast("long")
+            salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id", F.lit(-k)), F.col("salts"))).otherwise(F.lit(0)).cast("long")
             dealt = keyed.join(groups, "key").select("key", salt.alias("salt"), (~F.col("pivot")).cast("int").alias("late"), "doc_id", "n", "sig")
-            pairs = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "late", "doc_id").select("key", "salt", "doc_id", "n", "sig").mapInArrow(_meet(self.percent), "a long, b long")
+            pairs = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "late", F.xxhash64("doc_id", F.lit(k))).select("key", "salt", "doc_id", "n", "sig").mapInArrow(_meet(self.percent), "a long, b long")
             now = work.keep(pairs, f"round-{k}")
             out = now if out is None else out.union(now)
             if k + 1 < ROUNDS:
@@ -333,15 +405,23 @@ class Join:
             pairs = pairs.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
         return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
-    def _windows(self, region: DataFrame, edge: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    def _windows(self, region: DataFrame, active: DataFrame, edge: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
         """Member level: each window against the other pivot, then window against window for what stays open."""
         work = self.work
-        members = region.select("doc_id", "region", F.col("d").alias("dm"), "n")
-        sides = []
+        members = region.select("doc_id", "region", F.col("d").alias("dm"), "n").join(active.select("doc_id", "sig"), "doc_id")
+        salts = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
+        pairs = None
         for mine, other in (("a", "b"), ("b", "a")):
-            window = edge.join(members.withColumnRenamed("region", mine), mine).where((F.col("doc_id") != F.col(mine)) & (F.col("dm") >= F.col("d") - self.r - F.col(f"radius_{other}") - 1e-9))
-            sides.append(window.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("doc_id").alias("a"), F.col(other).alias("b"), F.lit(mine).alias("side")))
-        first = self.compared(sides[0].union(sides[1]), "window-pivots")
+            asked = edge.join(active.select(F.col("doc_id").alias(other), "n", "sig"), other).join(salts.withColumnRenamed("region", mine), mine)
+            asked = asked.select(F.col(mine).alias("region"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col(other).alias("other"), "n", "sig", (F.col("d") - self.r - F.col(f"radius_{other}") - 1e-9).alias("from"), (F.col(f"radius_{other}") + self.r + 1e-9).alias("to"))
+            window = members.join(salts, "region").join(edge.select(F.col(mine).alias("region")).distinct(), "region", "left_semi").where("doc_id <> region").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+            asked, window = work.keep(asked, f"asked-{mine}"), work.keep(window.select("region", "salt", "doc_id", "dm", "n", "sig"), f"window-{mine}")
+            near = window.groupBy("region", "salt").cogroup(asked.groupBy("region", "salt")).applyInPandas(_look, "doc_id long, other long, region long")
+            ends = (F.col("region").alias("pa"), F.col("other").alias("pb")) if mine == "a" else (F.col("other").alias("pa"), F.col("region").alias("pb"))
+            side = near.select(*ends, F.col("doc_id").alias("a"), F.col("other").alias("b"), F.lit(mine).alias("side"))
+            pairs = side if pairs is None else pairs.union(side)
+        members = members.drop("sig")
+        first = self.compared(pairs, "window-pivots")
         links = links.union(first.where("link").select("a", "b"))
         labels = components(links, work, "after-windows")
         still = work.keep(self._open(edge, labels), "still")

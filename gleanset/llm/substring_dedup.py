@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of consecutive sentences, ``SENTENCES`` and ``LEAST_WORDS`` words at least, is hashed from each
-sentence on. Runs are counted globally; of a run that occurs more than once the first place (by doc_id,
+Runs are ``SENTENCES`` consecutive sentences and ``LEAST_WORDS`` words at least. The query hashes, of
+each sentence, the shortest run that starts with it and the shortest that ends with it: a longer run that repeats
+is covered by such runs inside it, which repeat with it. Runs are counted globally; of a run that occurs more than once the first place (by doc_id,
 then sentence) stays, and sentences that any other place covers are removed.
 
 Run hashes are aggregated with partial aggregates, so a passage that a third of the documents share is one
@@ -43,8 +44,9 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.append(first, n), w.doc[first]
 
 
-def spans(w: Words, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, first sentence in the document, end sentence) of the shortest run from each sentence on."""
+def spans(w: Words, least_sentences: int, least_words: int, both_ends: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, first sentence in the document, end sentence) of the shortest run from each sentence on; with
+    ``both_ends`` also of the shortest up to each sentence, if it isn't one of those."""
     begin, doc = sentences(w)
     none = np.zeros(0, np.int64)
     if not len(doc):
@@ -54,17 +56,23 @@ def spans(w: Words, least_sentences: int, least_words: int) -> tuple[np.ndarray,
     last = np.searchsorted(doc, doc, "right")
     end = np.maximum(i + least_sentences, np.searchsorted(begin, begin[:-1] + least_words))
     ok = end <= last
-    i, end = i[ok], end[ok]
+    a, z = i[ok], end[ok]
+    if both_ends:
+        start = np.minimum(i + 1 - least_sentences, np.searchsorted(begin, begin[1:] - least_words, "right") - 1)
+        more = start >= head[doc]
+        more[more] = end[start[more]] != i[more] + 1
+        a, z = np.concatenate([a, start[more]]), np.concatenate([z, i[more] + 1])
+    i, end = a, z
     up, down = powers(len(w.hash) + 1)
     c = np.concatenate([[U(0)], np.cumsum(w.hash * up[:-1], dtype=U)])
     a, b = begin[i], begin[end]
     return mix((c[b] - c[a]) * down[a] + (b - a).astype(U)), doc[i], i - head[doc[i]], end - head[doc[i]]
 
 
-def _emit(least_sentences: int, least_words: int, wanted: KeyFilter | None):
+def _emit(least_sentences: int, least_words: int, both_ends: bool, wanted: KeyFilter | None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(parts):
-            h, doc, first, end = spans(Words(*utf8(b.column("text")), NON_SPACE), least_sentences, least_words)
+            h, doc, first, end = spans(Words(*utf8(b.column("text")), NON_SPACE), least_sentences, least_words, both_ends)
             if wanted is not None:
                 keep = wanted.test(h)
                 h, doc, first, end = h[keep], doc[keep], first[keep], end[keep]
@@ -104,9 +112,10 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(chars, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_sentences", "n_removed", "chars_removed", "text"])
 
 
-def substring_dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", both_ends: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_sentences, n_removed, chars_removed, text (what is left).
 
+    Without ``both_ends`` only runs from each sentence on count: short sentences at a repeated passage's end can stay.
     Defined cases: null texts stay null and empty ones empty, with no sentences; rows with a null doc_id
     are returned as they are and take no part; rows that repeat a doc_id and text are one document;
     a passage repeated inside one document stays at its first place; words are compared without
@@ -118,10 +127,10 @@ def substring_dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_wor
     named = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "version", "text")
     kind = df.schema["doc_id"].dataType.simpleString()
     schema = f"h long, doc_id {kind}, version long, first int, end int"
-    runs = named.mapInArrow(_emit(least_sentences, least_words, None), schema)
+    runs = named.mapInArrow(_emit(least_sentences, least_words, both_ends, None), schema)
     firsts = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "version", "first")).alias("f"))
     repeated = work.keep(firsts.where("n > 1").select("h", F.col("f.doc_id").alias("d"), F.col("f.version").alias("v"), F.col("f.first").alias("s")), "repeated")
-    places = named.mapInArrow(_emit(least_sentences, least_words, KeyFilter(repeated, "h")), schema)
+    places = named.mapInArrow(_emit(least_sentences, least_words, both_ends, KeyFilter(repeated, "h")), schema)
     later = places.join(repeated.hint("merge"), "h").where("NOT (doc_id = d AND version = v AND first = s)")
     gone = work.keep(later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("places")), "gone")
     joined = df.join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "places")
@@ -129,4 +138,4 @@ def substring_dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_wor
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(load(spark, sf_dir, "documents"))
+    return substring_dedup(load(spark, sf_dir, "documents"), both_ends=True)

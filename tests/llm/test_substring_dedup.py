@@ -60,3 +60,45 @@ def test_shared_passage_stays_once(spark, docs_of):
     rows = [(i, f"Opening {i} number {i}. {passage} Closing words {i}.") for i in range(50)]
     got = {r.doc_id: r for r in sd.substring_dedup(docs_of(rows)).collect()}
     assert got[0].text == rows[0][1] and all(got[i].text == f"Opening {i} number {i}. Closing words {i}." for i in range(1, 50))
+
+
+def every_run(rows, least_sentences, least_words):
+    """doc_id -> what is left, by all runs of any length."""
+    docs, seen, cut = {i: split(t) for i, t in rows}, defaultdict(list), defaultdict(set)
+    for i, t in rows:
+        for a in range(len(docs[i])):
+            for z in range(a + least_sentences, len(docs[i]) + 1):
+                words = tuple(t[x:y].lower() for s in docs[i][a:z] for x, y in s)
+                if len(words) >= least_words:
+                    seen[words].append((i, a, z))
+    for places in seen.values():
+        for i, a, z in sorted(places)[1:]:
+            cut[i] |= set(range(a, z))
+    edges = {i: [s[0][0] for s in docs[i]] + [len(t)] for i, t in rows}
+    return {i: t[: edges[i][0]] + "".join(t[edges[i][k] : edges[i][k + 1]] for k in range(len(docs[i])) if k not in cut[i]) for i, t in rows}
+
+
+def test_short_sentences_at_the_end_of_a_passage(spark, docs_of):
+    words = lambda n, k: " ".join(f"w{k}x{j}" for j in range(n)) + "."
+    passage = " ".join([words(20, 1), words(3, 2), words(3, 3)])
+    rows = [(i, f"{words(5, 100 + i)} {passage} {words(9, 200 + i)}") for i in range(3)] + [(i, passage) for i in (3, 4)]
+    got = {r.doc_id: r.text for r in sd.substring_dedup(docs_of(rows), both_ends=True).collect()}
+    assert got == every_run(rows, sd.SENTENCES, sd.LEAST_WORDS)
+    assert got[1] == f"{words(5, 101)} {words(9, 201)}" and got[3] == got[4] == ""
+
+
+def test_against_every_run(spark, docs_of):
+    rnd = random.Random(10)
+    pool = [" ".join(f"{rnd.choice('abcdef')}{rnd.randrange(9)}" for _ in range(rnd.choice([1, 2, 3, 9]))) + "." for _ in range(30)]
+    passages = [[rnd.choice(pool) for _ in range(rnd.randrange(2, 9))] for _ in range(12)]
+    rows = [(i, " ".join(s for _ in range(rnd.randrange(1, 4)) for s in [*rnd.choice(passages), rnd.choice(pool)])) for i in range(120)]
+    for least in ((2, 6), (2, 15), (3, 1)):
+        got = {r.doc_id: r.text for r in sd.substring_dedup(docs_of(rows), *least, both_ends=True).collect()}
+        assert got == every_run(rows, *least)
+
+
+def test_query_takes_both_ends(spark, docs_of, tmp_path):
+    words = lambda n, k: " ".join(f"w{k}x{j}" for j in range(n)) + "."
+    text = " ".join([words(20, 1), words(3, 2), words(3, 3)])
+    docs_of([(0, text), (1, text)]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in sd.query(spark, str(tmp_path)).collect()} == {0: text, 1: ""}

@@ -59,3 +59,30 @@ def test_contamination_in_blocks(spark, tables):
     one = sorted(map(str, contamination(docs, b).collect()))
     assert one == sorted(map(str, contamination(docs, b, block_bytes=300).collect()))
     assert decontaminated(docs, b.limit(0)).count() == docs.count()
+
+
+def test_near_stage_against_brute_force(spark):
+    """Copies with some words changed; many pairs have a five-word similarity between 0.80 and 0.85."""
+    rnd = random.Random(8)
+    rows, shingles = [], {}
+    for k in range(30):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(49)]
+        for j in range(3):
+            t = list(base)
+            if j:
+                t[rnd.randrange(49)] = f"x{k}y{j}"
+            rows.append((3 * k + j, " ".join(t)))
+            shingles[3 * k + j] = {tuple(t[a : a + 5]) for a in range(45)}
+    rows.append((500, " ".join(["same"] * 3)))
+    top = {i: i for i in shingles}
+    between = 0
+    for i, a in shingles.items():
+        for j, b in shingles.items():
+            share = len(a & b) / len(a | b)
+            between += i < j and 0.8 <= share < 0.85
+            if i < j and 10 * len(a & b) >= 8 * len(a | b):
+                x, y = sorted((top[i], top[j]))
+                top = {n: x if t == y else t for n, t in top.items()}
+    assert between > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in cp.unalike(spark, docs, "").collect()} == {i for i, t in top.items() if i == t} | {500}

@@ -259,9 +259,9 @@ def knn_label_disagreement(s, d):
 
 
 def _curves(s, d):
-    """Loss curves: each user's first 20 events of a day-long log, in order, are the epochs."""
+    """Loss curves: each user's events, in order, are the epochs."""
     e = _t(s, d, "events")
-    x = e.withColumn("epoch", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).where("epoch < 20")
+    x = e.withColumn("epoch", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
     return x.select(F.col("user_id").alias("row_id"), (F.col("user_id") % 3).cast("int").alias("label"), "epoch", F.col("value").alias("loss"))
 
 
@@ -270,7 +270,9 @@ def loss_moving_average(s, d):
 
 
 def ctrl_flags(s, d):
-    return quality.ctrl_flags(_curves(s, d), 20, 3, 2.0).select("row_id", "label", "clean_votes", "noisy")
+    curves = _curves(s, d)
+    epochs = (curves.agg(F.max("epoch")).first()[0] or 0) + 1
+    return quality.ctrl_flags(curves, epochs, 3, 2.0).select("row_id", "label", "clean_votes", "noisy")
 
 
 def early_stop_fold(s, d):

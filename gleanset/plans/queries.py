@@ -442,7 +442,7 @@ def pipeline_misdetect_coretab(s, d):
 def quality_coreset(s, d):
     """The staged loop over noisy embeddings."""
     noisy = noise.random_noise(embeddings(s, d), 0.2, C).select("row_id", "features", "label")
-    return coreset.quality_coreset(noisy, C, coreset.Config(stages=2, most_repairs=20))[0].select("row_id", "label", r6(F.col("sample_weight"), "sample_weight"))
+    return coreset.quality_coreset(noisy, C, coreset.Config())[0].select("row_id", "label", r6(F.col("sample_weight"), "sample_weight"))
 
 
 # Experiments.

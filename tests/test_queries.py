@@ -76,3 +76,16 @@ def test_early_stopping_looks_at_all_epochs(spark, folder):
         want[u] = (best, stop)
     assert max(stop for _, stop in want.values()) > 20
     assert {r.row_id: (r.best_loss, r.stopped_at) for r in queries.early_stop_fold(spark, folder).collect()} == want
+
+
+def test_quality_coreset_relabels(spark, monkeypatch):
+    reports, loop = [], queries.coreset.quality_coreset
+
+    def kept(points, n_classes, config):
+        out = loop(points, n_classes, config)
+        reports.extend(out[2])
+        return out
+
+    monkeypatch.setattr(queries.coreset, "quality_coreset", kept)
+    assert queries.quality_coreset(spark, "/root/testdata/sf0.001").count() == 50
+    assert len(reports) >= 3 and sum(r["relabelled"] for r in reports) > 0

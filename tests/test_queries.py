@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from gleanset.operators import select
 from gleanset.plans import queries
 
 CLASSES = 10
@@ -89,3 +90,16 @@ def test_quality_coreset_relabels(spark, monkeypatch):
     monkeypatch.setattr(queries.coreset, "quality_coreset", kept)
     assert queries.quality_coreset(spark, "/root/testdata/sf0.001").count() == 50
     assert len(reports) >= 3 and sum(r["relabelled"] for r in reports) > 0
+
+
+def test_coverage_beyond_one_task_takes_all_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    g = rng.standard_normal((160, 3))
+    g[100:110] = g[5]
+    w = rng.integers(1, 10, 160) / 10
+    points = spark.createDataFrame([(int(i) * 3, x.tolist(), float(v)) for i, x, v in zip(rng.permutation(160), g, w, strict=True)], "row_id bigint, g array<double>, w double").repartition(3, "row_id")
+    for block, lazy in ((4096, 64), (50, 7)):
+        monkeypatch.setattr(select, "BLOCK", block)
+        monkeypatch.setattr(select, "LAZY", lazy)
+        want = sorted(map(tuple, select.weighted_coverage(points, "g", 25, "w").collect()))
+        assert len(want) == 25 and sorted(map(tuple, select.weighted_coverage(points, "g", 25, "w", most=100).collect())) == want

@@ -1,14 +1,15 @@
 """Secret scan by a battery of randomness tests, in DataFrame functions only.
 
-Base spans come from three patterns. The battery then looks at every other long token that has a
-digit and isn't a plain number: its encoding is inferred (the smallest alphabet that holds it), and
+Base spans come from three patterns. The battery then looks at every other long token that
+isn't a plain number or a word of some language: its encoding is inferred (the smallest alphabet that holds it), and
 three statistics say how far it is from uniform random symbols of that alphabet: Pearson's
 chi-squared of the symbol counts, the Wald-Wolfowitz runs about the alphabet's middle, and the
 lag-1 serial correlation. Each is standardised, so S = max(0, z_chi)^2 + z_runs^2 + z_serial^2 is
 about a chi-squared variable for random tokens and large for language.
 
 Short tokens carry less evidence than long ones. False discoveries are therefore controlled by length: the
-corpus's own purely alphabetical long words are the null distribution, and in each bin of lengths
+corpus's own purely alphabetical long words are the null distribution, if they are language: half of their runs of
+``GRAM`` letters at least occur in ``GRAM_WORDS`` different words (so copies of a random token don't count), and in each bin of lengths
 the cut on S is the largest for which the Benjamini-Hochberg estimate
 m * P(null <= S) / #(candidates <= S) stays under ``fdr``. The null of a bin has the words of that
 length or shorter, which are harder to tell apart. Only the two histograms (bins of length by bins
@@ -38,6 +39,8 @@ SCORE_STEP, SCORE_BINS = 0.5, 60
 #: Beyond this S (1 % of a chi-squared variable with 3 degrees) a token isn't random at all.
 S_MOST = 11.3
 FDR = 0.05
+#: A word is language if so large a share of its runs of GRAM letters occur in GRAM_WORDS different words.
+GRAM, GRAM_WORDS, GRAM_SHARE = 5, 3, 0.5
 
 # Alphabets in the order of their encodings.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -138,13 +141,13 @@ def _score_bin(s: Column) -> Column:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, tokens, null): base spans (from, kind, to), tokens of the battery with length bin and S,
-    and the codes (length bin * SCORE_BINS + bin of S) of the purely alphabetical words."""
+    and the purely alphabetical words with their codes (length bin * SCORE_BINS + bin of S)."""
     df = text_of(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     t, empty = F.col("t"), F.expr(NOTHING)
     assign = rf"(?i){ASSIGN}"
     # No more than the least length is asked for where a shorter match can't hide a longer one.
     access, hexa = f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", f"[0-9a-f]{{{LEAST['hex']},}}"
-    token = rf"(?<![{TOKEN_CHARS}])(?=[A-Za-z+/_-]*[0-9])(?=[0-9]*[A-Za-z+/_-])[{TOKEN_CHARS}]{{{TOKEN_LEAST},}}={{0,2}}"
+    token = rf"(?<![{TOKEN_CHARS}])(?=[0-9]*[A-Za-z+/_-])[{TOKEN_CHARS}]{{{TOKEN_LEAST},}}={{0,2}}"
     word = rf"(?<![{TOKEN_CHARS}])[A-Za-z]{{{WORD_LEAST},}}(?![{TOKEN_CHARS}])"
     found = df.select(
         "doc_id",
@@ -158,16 +161,29 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     based = found.select("doc_id", F.array_sort(F.concat(*map(spans, KINDS[:3]))).alias("base"), "token", "word")
     apart = lambda s: ~F.exists("base", lambda b: (b["from"] < s["to"]) & (s["from"] < b["to"]))
     apart_only = based.select("doc_id", "base", F.filter("token", apart).alias("token"), "word")
-    scored = F.zip_with("token", battery(F.transform("token", lambda s: s["value"])), lambda s, z: F.struct(s["from"].alias("from"), s["to"].alias("to"), _bin(s["to"] - s["from"]).alias("bin"), z.alias("s")))
+    scored = F.zip_with("token", battery(F.transform("token", lambda s: s["value"])), lambda s, z: F.struct(s["from"].alias("from"), s["to"].alias("to"), _bin(s["to"] - s["from"]).alias("bin"), z.alias("s"), F.when(s["value"].rlike("^[A-Za-z]+$"), F.lower(s["value"])).alias("word")))
     null = F.zip_with(F.transform("word", lambda w: _bin(F.char_length(w))), battery(F.col("word")), lambda b, z: b * SCORE_BINS + _score_bin(z))
+    null = F.zip_with("word", null, lambda w, c: F.struct(w.alias("word"), c.alias("code")))
     return apart_only.select("doc_id", "base", scored.alias("tokens"), null.alias("null"))
 
 
-def cuts(found: DataFrame, fdr: float = FDR) -> dict[int, float]:
+def language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(word): the long alphabetical words whose runs of letters other words have too."""
+    t = F.lower("text")
+    pattern = rf"(?<![{TOKEN_CHARS}])[a-z]{{{GRAM},}}(?![{TOKEN_CHARS}])"
+    words = text_of(docs, id_col, text_col).select(F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))).alias("word")).distinct()
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("word") - (GRAM - 1)), lambda i: F.substring(F.col("word"), i, F.lit(GRAM))))
+    grams = words.select("word", F.explode(runs).alias("gram"))
+    known = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= GRAM_WORDS).select("gram", F.lit(1.0).alias("known"))
+    share = grams.where(F.char_length("word") >= WORD_LEAST).join(known, "gram", "left").groupBy("word").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("share"))
+    return share.where(F.col("share") >= GRAM_SHARE).select("word")
+
+
+def cuts(found: DataFrame, known: DataFrame, fdr: float = FDR) -> dict[int, float]:
     """By bin of lengths: the largest S at which the estimated share of false discoveries is ``fdr`` at most."""
     tokens = found.select(F.explode("tokens").alias("x")).select((F.col("x.bin") * SCORE_BINS + _score_bin(F.col("x.s"))).alias("code"), F.lit(0).alias("null"))
-    words = found.select(F.explode("null").alias("code"), F.lit(1).alias("null"))
-    counts = tokens.unionByName(words).groupBy("code", "null").count()
+    words = found.select(F.explode("null").alias("x")).select("x.word", "x.code").groupBy("word", "code").agg(F.count(F.lit(1)).alias("n")).join(known, "word")
+    counts = tokens.withColumn("n", F.lit(1)).unionByName(words.select("code", F.lit(1).alias("null"), "n")).groupBy("code", "null").agg(F.sum("n").alias("count"))
     table = {(r["null"], *divmod(r["code"], SCORE_BINS)): r["count"] for r in counts.collect()}  # 2 * LENGTH_BINS * SCORE_BINS rows at most
     out = {}
     for b in range(LENGTH_BINS):
@@ -191,8 +207,17 @@ def secret_scan(docs: DataFrame, fdr: float = FDR, id_col: str = "doc_id", text_
     are left out; a corpus without alphabetical words has no null distribution and adds none.
     """
     spark = docs.sparkSession
-    kept = Scratch(spark, "secrets").keep(candidates(docs, id_col, text_col), "found")
-    cut = cuts(kept, fdr)
+    work = Scratch(spark, "secrets")
+    kept = work.keep(candidates(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "found")
+    # Without any token that could pass there is nothing to decide.
+    some = not kept.where(F.exists("tokens", lambda x: x["s"] < S_MOST)).isEmpty()
+    cut = {}
+    if some:
+        known = work.keep(language(docs, id_col, text_col), "language")
+        plain = kept.select("row", F.explode("tokens.word").alias("word")).join(known, "word").groupBy("row").agg(F.collect_set("word").alias("plain"))
+        apart = F.filter("tokens", lambda x: x["word"].isNull() | ~F.array_contains(F.coalesce("plain", F.expr("cast(array() AS array<string>)")), x["word"]))
+        kept = work.keep(kept.join(plain, "row", "left").withColumn("tokens", apart).drop("plain"), "apart")
+        cut = cuts(kept, known, fdr)
     if cut:
         pairs = F.create_map(*[F.lit(v) for kv in cut.items() for v in kv])
         good = F.filter("tokens", lambda x: x["s"] < F.coalesce(F.try_element_at(pairs, x["bin"]), F.lit(-1.0)))

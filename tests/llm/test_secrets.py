@@ -49,3 +49,17 @@ def test_random_tokens_are_added(spark, docs_of):
     assert sum(got[2000 + i].n_random for i in range(60)) == 0
     r = got[1000]
     assert not r.n_random or r.spans == f"random:4:{4 + len(keys[0])}"
+
+
+def test_random_tokens_of_letters_are_added(spark, docs_of):
+    """Random letters, each in two documents, are found and don't hide the tokens with digits."""
+    rnd = random.Random(8)
+    syllables = ["tion", "the", "ing", "ment", "ness", "able", "ver", "con"]
+    words = ["".join(rnd.choice(syllables) for _ in range(rnd.randrange(6, 12))) for _ in range(3000)]
+    rows = [(i, " ".join(words[i * 10 : i * 10 + 10])) for i in range(300)]
+    letters = ["".join(rnd.choice(secrets.LOWER) for _ in range(42)) for _ in range(60)]
+    rows += [(1000 + i, f"see {k} here") for i, k in enumerate(letters)] + [(2000 + i, f"again {k} there") for i, k in enumerate(letters)]
+    rows += [(3000 + i, f"see {''.join(rnd.choice(secrets.BASE64) for _ in range(40))}7a here") for i in range(60)]
+    got = {r.doc_id: r.n_random for r in secrets.secret_scan(docs_of(rows), fdr=0.1).collect()}
+    assert all(sum(got[k + i] for i in range(60)) >= 50 for k in (1000, 2000, 3000))
+    assert sum(got[i] for i in range(300)) <= 0.1 * sum(got.values())

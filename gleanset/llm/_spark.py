@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -10,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a folder of our own in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="gleanset-")
         shared_dir.own = found
     if not spark.sparkContext.getCheckpointDir():
@@ -26,13 +30,19 @@ class Scratch:
     ``keep`` writes a frame and reads it again; ``drop`` removes tables that are no longer read.
     """
 
+    #: Shuffle files of a finished write are of no more use: the table replaces them.
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/gleanset/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.at}/{name}")
-        # The table replaces its lineage: shuffle files of finished steps go once the driver forgets them.
-        self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.at}/{name}")
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
@@ -54,16 +64,20 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 class KeyFilter:
-    """A Bloom filter of fixed size (``1 << log2_bits`` bits, 2 hashes) over a column of bigint hashes.
+    """A Bloom filter (2 hashes) over a column of ``count`` bigint hashes, some 16 bits a key.
 
-    It is built by ``bitmap_construct_agg`` on the executors; the driver receives at most
-    ``2**log2_bits / 8`` bytes whatever the input, so that it can be broadcast. It has false
-    positives and no false negatives: callers join exactly afterwards.
+    It is built by ``bitmap_construct_agg`` on the executors; the driver receives 2**MOST_BITS / 8 bytes at most
+    (32 MB) whatever the input, so that it can be broadcast. It has false positives, more of them beyond
+    some 2**24 keys, and no false negatives: callers join exactly afterwards.
     """
 
-    def __init__(self, df: DataFrame, key: str, log2_bits: int = 25):
+    MOST_BITS = 28
+
+    def __init__(self, df: DataFrame, key: str, count: int | None = None):
         import numpy as np
 
+        count = df.count() if count is None else count
+        log2_bits = min(self.MOST_BITS, max(16, math.ceil(math.log2(16 * count + 1))))
         self.bits = log2_bits
         n = 1 << log2_bits
         low = F.col(key).bitwiseAND(n - 1)

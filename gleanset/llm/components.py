@@ -36,7 +36,7 @@ def _union_find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in (0, 1):
             np.minimum.at(new, root[place[:, k]], low)
             np.minimum.at(new, place[:, k], low)
-        while (jump := new[new]).tolist() != new.tolist():
+        while not np.array_equal(jump := new[new], new):
             new = jump
         if (new == root).all():
             break

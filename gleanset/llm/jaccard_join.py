@@ -2,21 +2,26 @@
 
 d = 1 - Jaccard is a metric, and documents link when d <= r = 0.15 (100 * |A and B| >= 85 * |A or B|).
 
-1. *Classes.* Documents with equal sets are one class (a fingerprint of the set), represented by its
-   smallest doc_id. A fixed-size sketch of shingle counts orders all shingles, frequent ones last.
+1. *Classes.* Documents with equal sets are one class (a fingerprint of the set). A fixed-size sketch of
+   shingle counts orders all shingles, frequent ones last.
 2. *Cells.* By the prefix bound, linked sets share one of their first n - ceil(0.85 n) + 1 shingles in
    that order. Classes that share no such cell with another have no links and leave.
-3. *Voronoi regions.* In rounds, classes with the same min-hash meet (hot ones in salted groups); the first
-   become pivots, and every other class is paired with the pivots that may be within r. Pairs are then
-   compared exactly: a class joins the region of its nearest pivot within r and is linked to every
+3. *Voronoi regions.* In rounds, classes with the same min-hash meet (hot ones in salted groups); the most
+   central become pivots, and every other class is paired with the pivots that may be within r. Pairs are
+   then compared exactly: a class joins the region of its nearest pivot within r and is linked to every
    pivot within r. So a large group of near copies costs a few comparisons for each of its
    members, not all pairs.
-4. *Windows.* Two regions p, q that share a cell and aren't connected yet are compared by their pivots. By
-   the triangle inequality they can have a link only if d(p, q) <= r + radius(p) + radius(q).
-   Regions without other members are decided by that distance; of the others, members x of p
-   with d(x, p) >= d(p, q) - r - radius(q), and likewise of q, are replicated to the pair.
-5. *Recursion.* Within such pairs, members are compared with the other region's pivot first; pairs that
-   this doesn't connect compare the windows' members that share a cell, exactly.
+4. *Region pairs.* Regions that share a cell and aren't connected yet are compared by their pivots. Cells
+   of ``COLD`` regions at most are joined by key, larger ones as spaces (see 6). By the triangle inequality two
+   regions p, q can have a link only if d(p, q) <= r + radius(p) + radius(q).
+5. *Windows.* Of such a pair, members x of p with d(x, p) >= d(p, q) - r - radius(q), and likewise of q, are
+   replicated to the pair and compared with the other region's pivot. What this leaves open is a space of
+   its two windows.
+6. *Recursion.* A space of ``LEAF`` points at most is joined in one task. A larger one takes pivots of its
+   own: every point is compared exactly with them, belongs to the region of the nearest, and is
+   replicated to every region q with d(x, q) <= d(x, own) + 2 * (r + radii), beyond which the triangle
+   inequality leaves no link. Each region is a space of the next level. A region that hardly shrinks (its
+   points are all about as far from each other) is dealt into blocks, every two of which meet.
 
 Before sets are fetched, pairs pass a bound of some n/3 bytes a set: counts of shingles by hash bucket, whose
 bucket-wise minima add up to no less than the intersection. Only sets of surviving pairs are ever shuffled.
@@ -30,7 +35,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +47,23 @@ SHINGLE = 4
 PERCENT = 85
 ROUNDS = 4
 #: A min-hash group beyond this size is dealt over so many groups, each with pivots of its own.
-GROUP = 2000
+GROUP = 256
 PIVOTS = 8
 #: Pivots are chosen among so many classes of a group.
 LOOK = 96
+#: Cells of so many regions are joined by their key, which makes COLD / 2 pairs a row at most.
+COLD = 64
+#: A space of so many points is joined in one task.
+LEAF = 2000
+#: A region of a space that keeps more than this share of it is dealt into blocks.
+SHRINK = 0.75
+#: In the place of the parent space's points: this space was dealt to fit.
+DEALT = -1
+#: Members of a region, and questions to it, that meet in one task.
+BLOCK = 1000
 BUCKETS = 1 << 16
+#: Signatures have so many bytes at most.
+SIGNATURE = 1 << 14
 _LOW48 = U((1 << 48) - 1)
 _KEYS = [U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)]
 
@@ -97,7 +113,7 @@ def bucket_ranks(texts: DataFrame, shingle: int) -> np.ndarray:
 def signature(s: np.ndarray) -> bytes:
     """Counts of a set's shingles by low hash bits, some 2 to 4 a bucket; empty if a count doesn't fit a byte."""
     m = 32
-    while m * 4 < len(s) and m < 1 << 16:
+    while m * 4 < len(s) and m < SIGNATURE:
         m *= 2
     c = np.bincount((mix(s) & U(m - 1)).astype(np.int64), minlength=m)
     return b"" if len(s) and c.max() > 255 else c.astype(np.uint8).tobytes()
@@ -132,7 +148,7 @@ def _profile(rank: np.ndarray, shingle: int, percent: int):
             first = np.repeat(o[:-1] - np.concatenate([[0], np.cumsum(take)[:-1]]), take) + np.arange(int(take.sum()))
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(s[first].view(np.int64)))
             sig = pa.array([signature(s[x:y]) for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), *[pa.array(c.view(np.int64)) for c in cols], prefix, sig], ["doc_id", "n", "f1", "f2", "m0", "m1", "m2", "prefix", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n), *[pa.array(c.view(np.int64)) for c in cols], prefix, sig], ["doc_id", "row", "n", "f1", "f2", "m0", "m1", "m2", "prefix", "sig"])
 
     return run
 
@@ -140,11 +156,11 @@ def _profile(rank: np.ndarray, shingle: int, percent: int):
 def _sets_of(rank: np.ndarray, shingle: int, wanted: KeyFilter):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(parts):
-            keep = pa.array(np.flatnonzero(wanted.test(b.column("hid").to_numpy(zero_copy_only=False).astype(np.int64))))
+            keep = pa.array(np.flatnonzero(wanted.test(b.column("row").to_numpy(zero_copy_only=False).astype(np.int64))))
             if len(keep):
                 b = b.take(keep)
                 s, o = sets(b.column("text"), shingle, rank)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s[x:y].tobytes() for x, y in zip(o[:-1], o[1:], strict=True)], pa.binary())], ["doc_id", "s"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([s[x:y].tobytes() for x, y in zip(o[:-1], o[1:], strict=True)], pa.binary())], ["row", "s"])
 
     return run
 
@@ -210,7 +226,7 @@ def _meet(percent: int):
             first = []
 
         for b in parts:
-            for key, salt, *x in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "doc_id", "n", "sig")), strict=True):
+            for key, salt, *x in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "node", "n", "sig")), strict=True):
                 if (key, salt) != group:
                     if pivots is None and first:
                         settle()
@@ -246,28 +262,97 @@ def _may_reach(r: float):
     return run
 
 
-def _look(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Members of a (salted) region that may be within ``to`` of another region's pivot, from distance ``from`` on.
+class Signatures:
+    """Sizes and signatures of some points, as one table for each length of signatures."""
 
-    Only pairs that pass the signatures' bound come out.
-    """
-    out: list[tuple[int, int, int]] = []
-    if len(members) and len(asked):
-        region, ids, far, size = int(members["region"].iloc[0]), members["doc_id"].to_numpy(), members["dm"].to_numpy(), members["n"].to_numpy()
-        sigs = members["sig"].tolist()
-        by = {k: np.flatnonzero([len(x) == k for x in sigs]) for k in {len(x) for x in sigs}}
-        tables = {k: np.stack([np.frombuffer(sigs[i], np.uint8) for i in at]).astype(np.int64) for k, at in by.items() if k}
-        for other, n, sig, least, most in asked[["other", "n", "sig", "from", "to"]].itertuples(index=False):
-            for k, at in by.items():
-                if k and sig:
-                    m = min(k, len(sig))
-                    x, y = tables[k].reshape(len(at), -1, m).sum(1), np.frombuffer(sig, np.uint8).astype(np.int64).reshape(-1, m).sum(0)
-                    i = np.minimum(x, y).sum(1)
-                else:
-                    i = np.minimum(size[at], n)
-                near = (far[at] >= least) & (1 - i / (size[at] + n - i) <= most)
-                out += [(int(d), int(other), region) for d in ids[at[near]] if d != other]
-    return pd.DataFrame(out, columns=["doc_id", "other", "region"])
+    def __init__(self, sizes: list[int], sigs: list[bytes]):
+        self.size, self.whole = np.array(sizes, np.int64), [np.frombuffer(x, np.uint8) for x in sigs]
+        width = np.array([len(x) for x in sigs], np.int64)
+        self.at = {int(k): np.flatnonzero(width == k) for k in np.unique(width)}
+        self.folded = {(k, k): np.stack([self.whole[i] for i in at]) for k, at in self.at.items() if k}
+
+    def table(self, k: int, m: int) -> np.ndarray:
+        """The signatures of ``k`` bytes, folded to ``m`` buckets."""
+        if (k, m) not in self.folded:
+            whole = self.folded[k, k]
+            self.folded[k, m] = np.concatenate([whole[a : a + 64].reshape(-1, k // m, m).sum(1, dtype=np.uint32) for a in range(0, len(whole), 64)])
+        return self.folded[k, m]
+
+    def distances(self, size: int, sig: np.ndarray, coarse: int = SIGNATURE) -> np.ndarray:
+        """By point: no more than its Jaccard distance to a set of this size and signature; by ``coarse`` buckets at most."""
+        i = np.minimum(self.size, size)
+        for k, at in self.at.items():
+            m = min(k, len(sig), coarse)
+            if m:
+                x, y = self.table(k, m), sig.reshape(-1, m).sum(0, dtype=np.uint32)
+                i[at] = np.concatenate([np.minimum(x[a : a + 256], y).sum(1, dtype=np.int64) for a in range(0, len(x), 256)])
+        return 1 - i / (self.size + size - i)
+
+    def distance(self, i: int, j: int) -> float:
+        """No more than the Jaccard distance of two of the points, by their whole signatures."""
+        n, m = int(self.size[i]), int(self.size[j])
+        common_ = most_common(self.whole[i].tobytes(), n, self.whole[j].tobytes(), m)
+        return 1 - common_ / (n + m - common_)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+
+
+def _look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by region, block and kind. Members (kind 0: distance from their pivot in ``low``) are gathered, ``BLOCK`` at
+    most; each question (kind 1) asks for those with distances from ``low`` on that may be within ``high`` of its set."""
+    block, sizes, sigs, ids, far, table, out = None, [], [], [], [], None, []
+    for b in parts:
+        for region, part, kind, node, n, sig, low, high in zip(*(b.column(c).to_pylist() for c in ("region", "block", "kind", "node", "n", "sig", "low", "high")), strict=True):
+            if (region, part) != block:
+                block, sizes, sigs, ids, far, table = (region, part), [], [], [], [], None
+            if not kind:
+                sizes.append(n), sigs.append(sig), ids.append(node), far.append(low)
+            elif ids:
+                table = table or (Signatures(sizes, sigs), np.array(far))
+                near = np.flatnonzero((table[1] >= low) & (table[0].distances(n, np.frombuffer(sig, np.uint8)) <= high))
+                out += [(ids[i], node, region) for i in near.tolist() if ids[i] != node]
+        if len(out) > 100_000:
+            yield _batch(out, ["node", "other", "region"])
+            out.clear()
+    if out:
+        yield _batch(out, ["node", "other", "region"])
+
+
+def _leaf(r: float):
+    """Points of small spaces, sorted by space: pairs (a, b) that may be within r and both radii of each other, of
+    different components and (where a space has sides) of different sides."""
+
+    def pairs(points: list[tuple]) -> list[tuple[int, int]]:
+        node, component, side, sizes, radius, sigs = zip(*points, strict=True)
+        node, component, side, radius = np.array(node), np.array(component), np.array(side), np.array(radius)
+        table, out = Signatures(sizes, sigs), []
+        for i in range(len(node)):
+            reach = r + radius[i] + radius + 1e-9
+            # A coarse look at all points, a full one at those that it leaves.
+            near = (component != component[i]) & ((side != side[i]) | (side == 0)) & (node > node[i])
+            if near.any():
+                near &= table.distances(int(table.size[i]), table.whole[i], 64) <= reach
+                out += [(int(node[i]), int(node[j])) for j in np.flatnonzero(near).tolist() if table.distance(i, j) <= reach[j]]
+        return out
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, points, out = None, [], []
+        for b in parts:
+            for key, *x in zip(*(b.column(c).to_pylist() for c in ("space", "node", "component", "side", "n", "radius", "sig")), strict=True):
+                if key != space:
+                    out += pairs(points) if len(points) > 1 else []
+                    space, points = key, []
+                    if len(out) > 100_000:
+                        yield _batch(out, ["a", "b"])
+                        out = []
+                points.append(tuple(x))
+        out += pairs(points) if len(points) > 1 else []
+        if out:
+            yield _batch(out, ["a", "b"])
+
+    return run
 
 
 def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,13 +365,15 @@ def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Join:
-    """The steps of the join over one table; see the module's text."""
+    """The steps of the join over one table; see the module's text. Nodes of the graph are classes, numbered when they are written."""
 
     def __init__(self, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str):
         self.shingle, self.percent = shingle, percent
         self.r = 1 - percent / 100
         self.work = Scratch(docs.sparkSession, "jaccard")
-        self.docs = text_of(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+        #: A row's key: rows of one key repeat id and text.
+        self.docs = text_of(docs, id_col, text_col).withColumn("row", row_key())
+        self.id_type = self.docs.schema["doc_id"].dataType.simpleString()
 
     def linked(self) -> Column:
         return F.lit(100) * F.col("i") >= F.lit(self.percent) * (F.col("na") + F.col("nb") - F.col("i"))
@@ -294,64 +381,76 @@ class Join:
     def compared(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b, ...) with d = 1 - Jaccard and whether they link, written to the shared folder."""
         pairs = self.work.keep(pairs, f"{name}-pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        wanted = KeyFilter(ids.select(F.xxhash64("doc_id").alias("hid")), "hid")
-        found = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("hid")).mapInArrow(_sets_of(self.rank, self.shingle, wanted), "doc_id long, s binary")
-        # Rows that repeat an id (with one text or several) count as one document: the first set found.
-        s = found.groupBy("doc_id").agg(F.first("s").alias("s")) if self.repeated else found
-        both = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+        ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = self.work.keep(self.active.select("node", "row").join(ids, "node", "left_semi"), f"{name}-wanted")
+        found = self.docs.select("text", "row").mapInArrow(_sets_of(self.rank, self.shingle, KeyFilter(wanted, "row")), "row long, s binary")
+        # Rows that repeat id and text have the same set.
+        s = found.join(wanted, "row").groupBy("node").agg(F.first("s").alias("s"))
+        both = pairs.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema if f.name not in ("sa", "sb"))
         out = both.mapInArrow(_compare, f"{kinds}, i long, na long, nb long")
-        return self.work.keep(out.select("*", (1 - F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("d"), self.linked().alias("link")), name)
+        out = self.work.keep(out.select("*", (1 - F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("d"), self.linked().alias("link")), name)
+        self.work.drop(f"{name}-pairs", f"{name}-wanted")
+        return out
 
-    def run(self) -> DataFrame:
+    def solve(self) -> tuple[DataFrame, DataFrame]:
+        """(profile, named): rows with the fingerprint of their sets (f1, f2, n; n is 0 without shingles), and by fingerprint the
+        component's number, its smallest doc_id, and whether (keeper) a row is the one that stands for the component."""
         work = self.work
         self.rank = bucket_ranks(self.docs.select("text"), self.shingle)
-        profile = work.keep(self.docs.mapInArrow(_profile(self.rank, self.shingle, self.percent), "doc_id long, n long, f1 long, f2 long, m0 long, m1 long, m2 long, prefix array<long>, sig binary"), "profile")
-        self.repeated = not profile.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-        known = profile.where("n > 0 AND doc_id IS NOT NULL")
-        classes = work.keep(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("m0", "m1", "m2", "prefix", "sig")]), "classes")
-        cells = classes.select("rep", F.explode("prefix").alias("cell"))
+        profile = work.keep(self.docs.mapInArrow(_profile(self.rank, self.shingle, self.percent), f"doc_id {self.id_type}, row long, n long, f1 long, f2 long, m0 long, m1 long, m2 long, prefix array<long>, sig binary"), "profile")
+        # The first row of a class is that of the smallest id; rows without id come last.
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+        classes = profile.where("n > 0").groupBy("f1", "f2", "n").agg(first, *[F.first(c).alias(c) for c in ("m0", "m1", "m2", "prefix", "sig")])
+        classes = work.keep(classes.select(F.monotonically_increasing_id().alias("node"), F.col("first.row").alias("row"), "*"), "classes")
+        cells = classes.select("node", F.explode("prefix").alias("cell"))
         shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cell")
-        self.cells = work.keep(cells.join(shared.hint("merge"), "cell").select("cell", F.col("rep").alias("doc_id")), "cells")
-        active = work.keep(self.cells.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id"), "n", "m0", "m1", "m2", "sig"), "doc_id"), "active")
-        labels = self._labels(active)
-        named = classes.select("f1", "f2", F.col("n").alias("n_"), "rep")
+        self.cells = work.keep(cells.join(shared.hint("merge"), "cell").select("cell", "node"), "cells")
+        self.active = work.keep(self.cells.select("node").distinct().join(classes.select("node", "row", "n", "m0", "m1", "m2", "sig"), "node"), "active")
+        labels = self._labels()
+        named = classes.select("f1", "f2", "n", "node", "first")
         if labels is not None:
-            named = named.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_", F.coalesce("component", "rep").alias("component"))
+            named = named.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         else:
-            named = named.withColumnRenamed("rep", "component")
+            named = named.withColumn("component", F.col("node"))
         named = work.keep(named, "named")
-        mine = (F.col("p.f1") == F.col("c.f1")) & (F.col("p.f2") == F.col("c.f2")) & (F.col("p.n") == F.col("c.n_"))
-        linked = known.alias("p").join(named.hint("merge").alias("c"), mine).select("doc_id", F.col("n").alias("n_shingles"), "component")
-        rest = profile.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component"))
-        out = work.keep(linked.union(rest).withColumnRenamed("component", "component_id"), "result")
-        work.drop(*[x for x in ("profile", "classes", "cells", "active", "named")])
+        least = named.groupBy("component").agg(F.min("first").alias("least"))
+        named = work.keep(named.join(least, "component").select("f1", "f2", "n", "component", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keeper")), "components")
+        work.drop("classes", "cells", "active", "named", "region", "covered", *[f"left-{k}" for k in range(ROUNDS)], *[f"round-{k}" for k in range(ROUNDS)])
+        return profile.select("doc_id", "row", "n", "f1", "f2"), named
+
+    def run(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) of every row."""
+        profile, named = self.solve()
+        linked = profile.where("n > 0").join(named.hint("merge"), ["f1", "f2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        rest = profile.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        out = self.work.keep(linked.union(rest), "result")
+        self.work.drop("profile", "components")
         return out
 
-    def _labels(self, active: DataFrame) -> DataFrame | None:
+    def _labels(self) -> DataFrame | None:
         """Components of the active classes; None if there is none."""
-        work = self.work
+        work, active = self.work, self.active
         if active.isEmpty():
             return None
-        met = self._regions(active)
+        met = self._regions()
         if met.isEmpty():
-            covered = met.selectExpr("a AS doc_id", "b AS pivot", "0D AS d")
+            covered = met.selectExpr("a AS node", "b AS pivot", "0D AS d")
         else:
-            covered = self.compared(met, "covered").where("link").select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "d")
-        links = covered.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+            covered = self.compared(met, "covered").where("link").select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d")
+        links = covered.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         labels = components(links, work, "after-regions")
         # Every class's region: its nearest pivot, or itself.
-        near = covered.groupBy("doc_id").agg(F.min_by("pivot", F.struct("d", "pivot")).alias("pivot"), F.min("d").alias("d"))
-        region = active.select("doc_id", "n").join(near, "doc_id", "left").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        pivots = covered.select(F.col("pivot").alias("doc_id")).distinct().withColumn("heads", F.lit(True))
+        near = covered.groupBy("node").agg(F.min_by("pivot", F.struct("d", "pivot")).alias("pivot"), F.min("d").alias("d"))
+        region = active.select("node", "n").join(near, "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
+        pivots = covered.select(F.col("pivot").alias("node")).distinct().withColumn("heads", F.lit(True))
         # A pivot heads its own region, also if another pivot covered it later.
-        region = region.join(pivots, "doc_id", "left").select(
-            "doc_id", "n", F.when(F.col("heads"), F.col("doc_id")).otherwise(F.coalesce("pivot", "doc_id")).alias("region"),
-            F.when(F.col("heads"), 0.0).otherwise(F.coalesce("d", F.lit(0.0))).alias("d"), F.coalesce("component", "doc_id").alias("component"),
+        region = region.join(pivots, "node", "left").select(
+            "node", "n", F.when(F.col("heads"), F.col("node")).otherwise(F.coalesce("pivot", "node")).alias("region"),
+            F.when(F.col("heads"), 0.0).otherwise(F.coalesce("d", F.lit(0.0))).alias("d"), F.coalesce("component", "node").alias("component"),
         )
         region = work.keep(region, "region")
-        met = work.keep(self._met(region, active), "met")
+        met = work.keep(self._met(region), "met")
         if met.isEmpty():
             return labels
         decided = self.compared(met, "decided")
@@ -363,41 +462,93 @@ class Join:
         labels = components(all_links, work, "after-pivots")
         edge = work.keep(self._open(edge.select("a", "b", "d", "radius_a", "radius_b"), labels), "edge")
         if not edge.isEmpty():
-            labels = self._windows(region, active, edge, all_links, labels)
+            labels = self._windows(region, edge, all_links, labels)
         return labels
 
-    def _regions(self, active: DataFrame) -> DataFrame:
+    def _regions(self) -> DataFrame:
         """(a, b): classes and the pivots that may cover them, from rounds over different min-hashes."""
-        work, left = self.work, active.withColumn("pivot", F.lit(False))
+        work, left = self.work, self.active.drop("row").withColumn("pivot", F.lit(False))
         out = None
         for k in range(ROUNDS):
-            keyed = left.select("doc_id", F.col(f"m{k % 3}").alias("key"), "pivot", "n", "sig")
+            keyed = left.select("node", F.col(f"m{k % 3}").alias("key"), "pivot", "n", "sig")
             groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.ceil(F.col("k") / GROUP).cast("int").alias("salts"))
-            salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id", F.lit(-k)), F.col("salts"))).otherwise(F.lit(0)).cast("long")
-            dealt = keyed.join(groups, "key").select("key", salt.alias("salt"), (~F.col("pivot")).cast("int").alias("late"), "doc_id", "n", "sig")
-            pairs = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "late", F.xxhash64("doc_id", F.lit(k))).select("key", "salt", "doc_id", "n", "sig").mapInArrow(_meet(self.percent), "a long, b long")
+            salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("node", F.lit(-k)), F.col("salts"))).otherwise(F.lit(0)).cast("long")
+            dealt = keyed.join(groups, "key").select("key", salt.alias("salt"), (~F.col("pivot")).cast("int").alias("late"), "node", "n", "sig")
+            pairs = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "late", F.xxhash64("node", F.lit(k))).select("key", "salt", "node", "n", "sig").mapInArrow(_meet(self.percent), "a long, b long")
             now = work.keep(pairs, f"round-{k}")
             out = now if out is None else out.union(now)
             if k + 1 < ROUNDS:
-                gone, heads = now.select(F.col("a").alias("doc_id")).distinct(), out.select(F.col("b").alias("doc_id")).distinct().withColumn("is_pivot", F.lit(True))
-                rest = left.drop("pivot").join(gone, "doc_id", "left_anti").join(heads, "doc_id", "left")
+                gone, heads = now.select(F.col("a").alias("node")).distinct(), out.select(F.col("b").alias("node")).distinct().withColumn("is_pivot", F.lit(True))
+                rest = left.drop("pivot").join(gone, "node", "left_anti").join(heads, "node", "left")
                 left = work.keep(rest.withColumn("pivot", F.coalesce("is_pivot", F.lit(False))).drop("is_pivot"), f"left-{k}")
         return out.distinct()
 
-    def _met(self, region: DataFrame, active: DataFrame) -> DataFrame:
+    def _met(self, region: DataFrame) -> DataFrame:
         """Pairs (a, b) of unconnected regions that share a cell and may match, with their radii."""
         sizes = region.groupBy("region").agg(F.max("d").alias("radius"))
-        rows = self.cells.join(region.select("doc_id", "n", "region", "component"), "doc_id")
+        rows = self.cells.join(region.select("node", "n", "region", "component"), "node")
         rows = rows.groupBy("cell", "region").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("component").alias("component"))
-        mixed = rows.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cell")
+        mixed = rows.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select("cell", "k")
         rows = self.work.keep(rows.join(mixed.hint("merge"), "cell").join(sizes, "region"), "cell-regions")
-        a, b = (rows.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("region", "lo", "hi", "component", "radius")]) for s in "ab")
+        cold = rows.where(F.col("k") <= COLD)
+        a, b = (cold.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("region", "lo", "hi", "component")]) for s in "ab")
         fits = (F.col("hi_a") * 100 >= F.col("lo_b") * self.percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * self.percent)
         pairs = a.hint("merge").join(b.hint("merge"), "cell").where((F.col("region_a") < F.col("region_b")) & (F.col("component_a") != F.col("component_b")) & fits)
-        pairs = pairs.groupBy(F.col("region_a").alias("a"), F.col("region_b").alias("b")).agg(F.max("radius_a").alias("radius_a"), F.max("radius_b").alias("radius_b"))
+        pairs = pairs.select(F.col("region_a").alias("a"), F.col("region_b").alias("b")).distinct()
+        signed = self.active.join(sizes, self.active["node"] == sizes["region"]).select("node", "n", "sig", "radius")
         for c in "ab":
-            pairs = pairs.join(active.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")), c)
-        return pairs.mapInArrow(_may_reach(self.r), "a long, b long, radius_a double, radius_b double")
+            pairs = pairs.join(signed.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "sig", "radius")]), c)
+        pairs = pairs.mapInArrow(_may_reach(self.r), "a long, b long, radius_a double, radius_b double")
+        hot = rows.where(F.col("k") > COLD).select(F.col("cell").alias("space"), F.col("region").alias("node"), "component", F.lit(0).alias("side")).join(signed, "node")
+        more = self._spaces(hot, "cells")
+        if more is not None:
+            for c in "ab":
+                more = more.join(sizes.select(F.col("region").alias(c), F.col("radius").alias(f"radius_{c}")), c)
+            pairs = pairs.union(more.select("a", "b", "radius_a", "radius_b")).distinct()
+        return pairs
+
+    def _spaces(self, points: DataFrame, name: str) -> DataFrame | None:
+        """(a, b): pairs of points of one space that may hold a link; None without points.
+
+        ``points`` has space, node, component, side (0: none), n, sig, radius. Levels of pivots, regions and windows go on
+        until every space fits one task.
+        """
+        work, out, level = self.work, None, 0
+        points = work.keep(points.select("space", "node", "component", "side", "n", "sig", "radius", F.lit(None).cast("long").alias("parent")), f"{name}-points")
+        while not points.isEmpty():
+            sizes = points.groupBy("space").agg(F.count(F.lit(1)).alias("k"), F.max("radius").alias("widest"))
+            sized = points.join(sizes, "space")
+            fits = (F.col("k") <= LEAF) | F.coalesce(F.col("parent") == DEALT, F.lit(False))
+            small = sized.where(fits).repartition("space").sortWithinPartitions("space")
+            found = work.keep(small.select("space", "node", "component", "side", "n", "radius", "sig").mapInArrow(_leaf(self.r), "a long, b long").distinct(), f"{name}-found-{level}")
+            out = found if out is None else out.union(found)
+            large = work.keep(sized.where(~fits), f"{name}-large-{level}")
+            work.drop(f"{name}-points" if not level else f"{name}-points-{level}")
+            level += 1
+            stuck = F.coalesce(F.col("k") > SHRINK * F.col("parent"), F.lit(False))
+            points = work.keep(self._blocks(large.where(stuck)).unionByName(self._split(large.where(~stuck), f"{name}-{level}")), f"{name}-points-{level}")
+        return out
+
+    def _split(self, points: DataFrame, name: str) -> DataFrame:
+        """The next level's spaces: Voronoi regions of pivots of each space, with the points of their windows."""
+        if points.isEmpty():
+            return points.drop("k", "widest").limit(0)
+        chosen = points.groupBy("space").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(f"{name}-{j}"))) for j in range(PIVOTS)])).alias("pivots"))
+        asked = points.select("space", "node").join(chosen, "space").select("space", F.col("node").alias("a"), F.explode("pivots").alias("b"))
+        far = self.compared(asked.select("a", "b").distinct(), name).select("a", "b", "d")
+        far = asked.join(far, ["a", "b"])
+        nearest = far.groupBy("space", "a").agg(F.min("d").alias("own"))
+        placed = far.join(nearest, ["space", "a"]).join(points.withColumnRenamed("node", "a"), ["space", "a"])
+        # A link of x reaches no further than r, its own radius and the widest other; twice that is the window.
+        inside = F.col("d") <= F.col("own") + 2 * (F.lit(self.r) + F.col("radius") + F.col("widest")) + 1e-9
+        return placed.where(inside).select(F.xxhash64("space", "b", F.lit(name)).alias("space"), F.col("a").alias("node"), "component", "side", "n", "sig", "radius", F.col("k").alias("parent"))
+
+    def _blocks(self, points: DataFrame) -> DataFrame:
+        """The next level's spaces, which fit one task: every two blocks of each space, dealt by hash."""
+        count = F.ceil(F.col("k") * 2.5 / LEAF).cast("int")
+        dealt = points.withColumn("blocks", count).withColumn("mine", F.pmod(F.xxhash64("node", "k"), F.col("blocks")).cast("int"))
+        met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return met.select(F.xxhash64("space", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("block")).alias("space"), "node", "component", "side", "n", "sig", "radius", F.lit(DEALT).cast("long").alias("parent"))
 
     def _open(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs whose ends aren't connected yet."""
@@ -405,41 +556,53 @@ class Join:
             pairs = pairs.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
         return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
-    def _windows(self, region: DataFrame, active: DataFrame, edge: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    def _windows(self, region: DataFrame, edge: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
         """Member level: each window against the other pivot, then window against window for what stays open."""
-        work = self.work
-        members = region.select("doc_id", "region", F.col("d").alias("dm"), "n").join(active.select("doc_id", "sig"), "doc_id")
-        salts = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
+        work, active = self.work, self.active
+        members = region.select("node", "region", F.col("d").alias("dm"), "n").where("node <> region").join(active.select("node", "sig"), "node")
         pairs = None
         for mine, other in (("a", "b"), ("b", "a")):
-            asked = edge.join(active.select(F.col("doc_id").alias(other), "n", "sig"), other).join(salts.withColumnRenamed("region", mine), mine)
-            asked = asked.select(F.col(mine).alias("region"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col(other).alias("other"), "n", "sig", (F.col("d") - self.r - F.col(f"radius_{other}") - 1e-9).alias("from"), (F.col(f"radius_{other}") + self.r + 1e-9).alias("to"))
-            window = members.join(salts, "region").join(edge.select(F.col(mine).alias("region")).distinct(), "region", "left_semi").where("doc_id <> region").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-            asked, window = work.keep(asked, f"asked-{mine}"), work.keep(window.select("region", "salt", "doc_id", "dm", "n", "sig"), f"window-{mine}")
-            near = window.groupBy("region", "salt").cogroup(asked.groupBy("region", "salt")).applyInPandas(_look, "doc_id long, other long, region long")
+            asked = edge.join(active.select(F.col("node").alias(other), "n", "sig"), other)
+            asked = asked.select(F.col(mine).alias("region"), F.col(other).alias("node"), "n", "sig", (F.col("d") - self.r - F.col(f"radius_{other}") - 1e-9).alias("low"), (F.col(f"radius_{other}") + self.r + 1e-9).alias("high"))
+            near = work.keep(self._asked(members, work.keep(asked, f"asked-{mine}")), f"near-{mine}")
+            work.drop(f"asked-{mine}")
             ends = (F.col("region").alias("pa"), F.col("other").alias("pb")) if mine == "a" else (F.col("other").alias("pa"), F.col("region").alias("pb"))
-            side = near.select(*ends, F.col("doc_id").alias("a"), F.col("other").alias("b"), F.lit(mine).alias("side"))
+            side = near.select(*ends, F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1 if mine == "a" else 2).alias("side"))
             pairs = side if pairs is None else pairs.union(side)
-        members = members.drop("sig")
         first = self.compared(pairs, "window-pivots")
         links = links.union(first.where("link").select("a", "b"))
         labels = components(links, work, "after-windows")
-        still = work.keep(self._open(edge, labels), "still")
+        still = work.keep(self._open(edge, labels).select(F.col("a").alias("pa"), F.col("b").alias("pb"), "radius_a", "radius_b"), "still")
         if still.isEmpty():
             return labels
-        # Members of both windows, with their distances to both pivots: |d(x, p) - d(y, p)| <= r holds for a link.
-        known = first.join(still.select(F.col("a").alias("pa"), F.col("b").alias("pb")), ["pa", "pb"], "left_semi").select("pa", "pb", "side", F.col("a").alias("doc_id"), F.col("d").alias("far"))
-        known = known.join(members.select("doc_id", F.col("dm").alias("near"), "n"), "doc_id")
-        placed = known.join(self.cells, "doc_id")
-        x = placed.where("side = 'a'").select("pa", "pb", "cell", F.col("doc_id").alias("a"), F.col("near").alias("xa"), F.col("far").alias("xb"), F.col("n").alias("nx"))
-        y = placed.where("side = 'b'").select("pa", "pb", "cell", F.col("doc_id").alias("b"), F.col("far").alias("ya"), F.col("near").alias("yb"), F.col("n").alias("ny"))
-        limit = self.r + 1e-9
-        near = (F.abs(F.col("xa") - F.col("ya")) <= limit) & (F.abs(F.col("xb") - F.col("yb")) <= limit)
-        fits = (F.col("nx") * 100 >= F.col("ny") * self.percent) & (F.col("ny") * 100 >= F.col("nx") * self.percent)
-        pairs = x.join(y, ["pa", "pb", "cell"]).where(near & fits).select("a", "b").distinct()
-        last = self.compared(pairs, "window-members")
+        # Members of both windows, within reach of the other pivot; both sides together are one space.
+        reach = self.r + F.when(F.col("side") == 1, F.col("radius_b")).otherwise(F.col("radius_a")) + 1e-9
+        known = first.join(still, ["pa", "pb"]).where(F.col("d") <= reach).select("pa", "pb", "side", F.col("a").alias("node"))
+        both = known.groupBy("pa", "pb").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x < y").select("pa", "pb")
+        points = known.join(both, ["pa", "pb"]).join(active.select("node", "n", "sig"), "node").join(labels.withColumnRenamed("id", "node"), "node", "left")
+        points = points.select(F.xxhash64("pa", "pb").alias("space"), "node", F.coalesce("component", "node").alias("component"), "side", "n", "sig", F.lit(0.0).alias("radius"))
+        pairs = self._spaces(points, "windows")
+        if pairs is None:
+            return labels
+        last = self.compared(pairs.distinct(), "window-members")
         return components(links.union(last.where("link").select("a", "b")), work, "after-members")
 
+    def _asked(self, members: DataFrame, asked: DataFrame) -> DataFrame:
+        """(node, other, region): members of the asked regions that may be in the window; blocks of members meet blocks of questions."""
+        count = lambda df, name: df.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+        blocks = count(members, "rows").join(count(asked, "columns"), "region")
+        dealt = []
+        for df, mine, other, kind in ((members.withColumn("low", F.col("dm")).withColumn("high", F.lit(0.0)), "rows", "columns", 0), (asked, "columns", "rows", 1)):
+            put = df.join(blocks, "region").withColumn("there", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).withColumn("here", F.pmod(F.xxhash64("node"), F.col(mine)).cast("int"))
+            row, column = ("here", "there") if kind == 0 else ("there", "here")
+            dealt.append(put.select("region", (F.col(row) * F.col("columns") + F.col(column)).alias("block"), F.lit(kind).alias("kind"), "node", "n", "sig", "low", "high"))
+        return dealt[0].union(dealt[1]).repartition("region", "block").sortWithinPartitions("region", "block", "kind").mapInArrow(_look, "node long, other long, region long")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(id_col, F.col(text_col).cast("string"))
+
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
@@ -447,12 +610,27 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     Words are what ASCII white space separates, A-Z lower-cased; a set has the distinct ``shingle``-word
     runs, a shorter text its whole sequence. Two sets link when 100 * |A and B| >= percent * |A or B|.
 
-    Defined cases: null, empty and wordless texts have no shingles and link with nothing; rows with a null
-    doc_id have a null component and take no part; rows that repeat a doc_id are one document;
-    an empty table gives no rows.
+    Defined cases: null, empty and wordless texts have no shingles and link with nothing; very long texts are
+    one set each; rows with a null doc_id have a null component, their texts link others; rows that repeat a doc_id with other texts are
+    documents of their own; repeated rows share a component; columns of any other name are not looked at; an
+    empty table gives no rows.
     """
     return Join(docs, shingle, percent, id_col, text_col).run()
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each component the row of the smallest doc_id stays.
+
+    Defined cases: as above; rows without id stay only where their component has no row with one; rows without
+    words stay; rows that repeat id and text stay or go together.
+    """
+    join = Join(docs, shingle, percent, id_col, text_col)
+    profile, named = join.solve()
+    gone = profile.where("n > 0").join(named.hint("merge"), ["f1", "f2", "n"]).where("row <> keeper").select("row").distinct()
+    gone = join.work.keep(gone.withColumnRenamed("row", "__row"), "gone")
+    join.work.drop("profile", "components")
+    return docs.withColumn("__row", row_key(id_col, text_col)).join(gone, "__row", "left_anti").drop("__row")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(load(spark, sf_dir, "documents"))

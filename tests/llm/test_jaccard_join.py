@@ -101,3 +101,48 @@ def test_components(spark, monkeypatch, most):
             top[y] = x
     out = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c").collect()
     assert {r.id: r.component for r in out} == {i: root(i) for i in top} and len(out) == len(top)
+
+
+def test_recursion_of_regions(spark, docs_of, monkeypatch):
+    """Spaces of three points: several levels of pivots and windows, and blocks where regions don't shrink."""
+    for name, value in {"LEAF": 6, "COLD": 2, "BLOCK": 3, "PIVOTS": 2, "ROUNDS": 1}.items():
+        monkeypatch.setattr(jj, name, value)
+    levels = set()
+    split, blocks = jj.Join._split, jj.Join._blocks
+    monkeypatch.setattr(jj.Join, "_split", lambda self, points, name: (None if points.isEmpty() else levels.add(name), split(self, points, name))[1])
+    monkeypatch.setattr(jj.Join, "_blocks", lambda self, points: (None if points.isEmpty() else levels.add("blocks"), blocks(self, points))[1])
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(70):  # a chain of variants beside others that are all about as far from each other
+        t = [*base[: 100 - i // 3], *(f"c{k}" for k in range(i // 3))] if i < 30 else [w if rnd.random() < 0.97 else f"{w}x{i}" for w in base]
+        rows.append((500 - i, " ".join(t)))
+    assert got(jj.jaccard_join(docs_of(rows))) == brute(rows)
+    assert {"blocks", "cells-1"} <= levels
+
+
+def test_levels_of_a_space(spark, docs_of, monkeypatch):
+    """Sixteen groups of variants in one space: pivots split it again and again, and no pair within r is lost."""
+    for name, value in {"LEAF": 30, "PIVOTS": 4, "SHRINK": 0.95}.items():
+        monkeypatch.setattr(jj, name, value)
+    levels = set()
+    split = jj.Join._split
+    monkeypatch.setattr(jj.Join, "_split", lambda self, points, name: (None if points.isEmpty() else levels.add(name), split(self, points, name))[1])
+    rnd = random.Random(9)
+    rows = [(12 * g + i, " ".join(w if rnd.random() < 0.98 else f"{w}x{i}" for w in (f"g{g // 4}a{k}" if k < 30 else f"g{g}w{k}" for k in range(60)))) for g in range(16) for i in range(12)]
+    join = jj.Join(docs_of(rows), 4, 85, "doc_id", "text")
+    join.rank = jj.bucket_ranks(join.docs.select("text"), 4)
+    profile = join.docs.mapInArrow(jj._profile(join.rank, 4, 85), "doc_id long, row long, n long, f1 long, f2 long, m0 long, m1 long, m2 long, prefix array<long>, sig binary")
+    join.active = join.work.keep(profile.selectExpr("doc_id AS node", "row", "n", "sig"), "active")
+    pairs = {(r.a, r.b) for r in join._spaces(join.active.selectExpr("7L AS space", "node", "node AS component", "0 AS side", "n", "sig", "0D AS radius"), "test").collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = {(i, j) for i, x in sets.items() for j, y in sets.items() if i < j and 100 * len(x & y) >= 85 * len(x | y)}
+    assert links <= pairs and len(pairs) < 3 * len(links) and len(levels) >= 2, (len(links), len(pairs), levels)
+
+
+def test_one_of_each(spark, docs_of):
+    base = [f"w{k}" for k in range(60)]
+    near = lambda k: " ".join([*base[:59], f"x{k}"])
+    rows = [(7, " ".join(base)), (3, near(1)), (None, near(2)), (3, "another text of some six words"), (9, None), (9, ""), (None, "alone and without any id here")]
+    kept = sorted(((r.doc_id, r.text) for r in jj.one_of_each(docs_of(rows)).collect()), key=repr)
+    assert kept == sorted([rows[1], *rows[3:]], key=repr)

@@ -238,11 +238,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return df
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, all columns kept (anti-join on the id)."""
-    id_col = options.get("id_col", "doc_id")
-    hit = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hit, id_col, "left_anti").select(docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, all columns kept. Rows go by their own text, whatever their ids:
+    a contaminated row without id goes too, and a clean row that shares its id with one stays."""
+    key = F.xxhash64(id_col, F.col(text_col).cast("string"))
+    keyed = docs.select(key.alias("__row"), F.col(text_col).alias("__text"))
+    hit = contamination(keyed, benchmark, id_col="__row", text_col="__text", **options).where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
+    return docs.withColumn("__row", key).join(hit, "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,50 +9,86 @@ execution splits a hot digest.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, load, remove, shared_dir, text_of
+from ._spark import Scratch, exists, load, remove, shared_dir, text_of
 
-BUCKETS = 64
+#: Buckets of a new index: one for each so many bytes of digests that it is to hold, at these limits.
+BUCKET_BYTES = 256 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 32, 1 << 16
+ROW_BYTES = 80
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets of an index that is to hold so many digests."""
+    return max(LEAST_BUCKETS, min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, rows * ROW_BYTES / BUCKET_BYTES))))))
 
 
 class DigestIndex:
-    """A persistent table (digest, keep_id, batch), bucketed and sorted by digest, at ``path``.
+    """A persistent table (digest, keep_id, batch), partitioned by batch, bucketed and sorted by digest, at ``path``.
 
-    Another session opens the same index by the same path. ``buckets`` must not change for a path.
+    Another session opens the same index by the same path; its number of buckets is found there, ``buckets`` is that of a
+    new one. A batch is written under its number: writing it again replaces it.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = LEAST_BUCKETS):
+        self.spark = spark
         self.path = path or f"{shared_dir(spark)}/gleanset/digests-{uuid.uuid4().hex[:12]}"
-        self.table = f"gleanset_digests_{abs(hash(self.path)):x}"
-        spark.sql(f"DROP TABLE IF EXISTS {self.table}")  # external: the files stay
-        spark.sql(
-            f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT, batch BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+        self.table = f"gleanset_digests_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}"
+        note = f"{self.path}-buckets"
+        if not exists(spark, note):
+            spark.range(1).selectExpr(f"{buckets} AS buckets").coalesce(1).write.mode("overwrite").parquet(note)
+        self.buckets = spark.read.parquet(note).first()["buckets"]
+        self._open()
+
+    def _open(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")  # external: the files stay
+        self.spark.sql(
+            f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT, batch BIGINT) USING parquet PARTITIONED BY (batch) "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
+        if exists(self.spark, self.path):
+            self.spark.sql(f"MSCK REPAIR TABLE {self.table}")  # finds the batches of earlier sessions
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def unseen(self, groups: DataFrame) -> DataFrame:
-        """The groups whose digest isn't in the index: a sort-merge anti-join."""
-        return groups.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+    def before(self, batch: int | None) -> DataFrame:
+        """The digests of other batches (of all without ``batch``); what an earlier try of this batch has left doesn't count."""
+        return self.rows() if batch is None else self.rows().where(F.col("batch") != batch)
+
+    def unseen(self, groups: DataFrame, batch: int | None = None) -> DataFrame:
+        """The groups whose digest is in no other batch: a sort-merge anti-join."""
+        return groups.hint("merge").join(self.before(batch).select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, groups: DataFrame, batch: int = 0) -> None:
-        (
-            groups.select("digest", "keep_id", F.lit(batch).cast("long").alias("batch"))
-            .repartition(self.buckets, "digest")
-            .write.insertInto(self.table)
-        )
+        """Write a batch; a batch of that number is replaced."""
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(mode)
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            rows = groups.select("digest", "keep_id", F.lit(batch).cast("long").alias("batch"))
+            rows.repartition(self.buckets, "digest").write.insertInto(self.table, overwrite=True)
+        finally:
+            self.spark.conf.set(mode, before)
         self.spark.catalog.refreshTable(self.table)
 
+    def rebuild(self, buckets: int | None = None) -> None:
+        """Write all batches anew as batch -1, in one sorted file a bucket, and with another number of buckets if given."""
+        new = DigestIndex(self.spark, f"{self.path}-{uuid.uuid4().hex[:8]}", buckets or self.buckets)
+        new.append(self.rows(), -1)
+        self.drop()
+        self.path, self.buckets, self.table = new.path, new.buckets, new.table
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         remove(self.spark, self.path)
+        remove(self.spark, f"{self.path}-buckets")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,28 +96,35 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return text_of(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
 
 
+def summarised(found: DataFrame, index: DigestIndex, batch: int) -> DataFrame:
+    """(digest, keep_id, group_size, seen_before) of every digest of the batch; new digests go to the index as this batch.
+
+    The table is written before the index: a try that fails in between leaves an index without this batch, and a try that
+    fails later leaves one that the next try replaces.
+    """
+    work = Scratch(found.sparkSession, "exact")
+    groups = work.keep(found.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    fresh = work.keep(index.unseen(groups, batch), "fresh")
+    old = groups.join(fresh.select("digest"), "digest", "left_anti").select("digest", "group_size").join(index.before(batch).groupBy("digest").agg(F.max("keep_id").alias("keep_id")), "digest")
+    summary = work.keep(fresh.select("digest", "keep_id", "group_size", F.lit(False).alias("seen_before")).unionByName(old.withColumn("seen_before", F.lit(True))), "summary")
+    index.append(fresh, batch)
+    work.drop("groups", "fresh")
+    return summary
+
+
 def exact_dedup(docs: DataFrame, index: DigestIndex, batch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, seen_before.
 
     Equal texts are those of one digest. Of texts new to the index the row with the largest doc_id
-    stays; texts already in the index are dropped and point to the row kept then. group_size counts
-    the rows of this batch. New digests are appended to the index.
+    stays; texts already in the index by another batch are dropped and point to the row kept then. group_size counts
+    the rows of this batch. New digests are appended to the index; a batch that is run again gives the same rows again.
 
-    Defined cases: null text is the empty text; a null doc_id never wins over another id, and in a
-    group without ids every row is kept with keep_id null; rows that repeat the keeper's doc_id with
-    the same text are all kept (they are one document); an empty table gives no rows.
+    Defined cases: null text is the empty text; very long texts are digested whole; a null doc_id never wins over another
+    id, and in a group without ids every row is kept with keep_id null; rows that repeat the keeper's doc_id with
+    the same text are all kept (they are one document); other columns aren't looked at; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    work = Scratch(spark, "exact")
     found = digests(docs, id_col, text_col)
-    groups = work.keep(found.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    fresh = work.keep(index.unseen(groups), "fresh")
-    index.append(fresh, batch)
-    known = groups.join(fresh.select("digest"), "digest", "left_anti").select("digest", "group_size")
-    old = known.join(index.rows(), "digest").select("digest", "keep_id", "group_size", F.lit(True).alias("seen_before"))
-    summary = work.keep(fresh.select("digest", "keep_id", "group_size", F.lit(False).alias("seen_before")).unionByName(old), "summary")
-    work.drop("groups")
-    work.drop("fresh")
+    summary = summarised(found, index, batch)
     return found.join(summary.hint("merge"), "digest").select(
         "doc_id",
         "keep_id",
@@ -92,10 +135,22 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: int = 0, id_col: str
     )
 
 
+def deduplicated(docs: DataFrame, index: DigestIndex, batch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stays for each text that is new to the index: the one of the largest
+    doc_id, and of rows that repeat id and text one. A null text is the empty text. Rows are told apart by id and text, never by the id alone."""
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    summary = summarised(digests(docs, id_col, text_col), index, batch).where("NOT seen_before").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
+    rows = docs.withColumn("__digest", digest).join(summary.hint("merge"), "__digest")
+    rows = rows.where(F.col(id_col).cast("long").eqNullSafe(F.col("__keep")))
+    return rows.dropDuplicates(["__digest"]).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark)
-    out = exact_dedup(load(spark, sf_dir, "documents"), index)
-    return out.drop("seen_before")
+    docs = load(spark, sf_dir, "documents")
+    index = DigestIndex(spark, buckets=buckets_for(docs.count()))
+    out = exact_dedup(docs, index).drop("seen_before")
+    index.drop()
+    return out
 
 
 SQL = """

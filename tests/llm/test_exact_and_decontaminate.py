@@ -18,6 +18,10 @@ def test_exact_dedup_and_persistent_index(spark, docs_of):
     assert (more[20].kept, more[20].keep_id, more[20].seen_before) == (False, 5, True)
     assert (more[21].kept, more[22].kept, more[21].keep_id) == (False, True, 22)
     assert again.rows().count() == 5
+    repeated = {r.doc_id: r for r in exact_dedup(docs_of([(20, "a"), (21, "new"), (22, "new")]), DigestIndex(spark, index.path), batch=1).collect()}
+    assert repeated == more and again.rows().count() == 5  # a batch that is run again
+    again.rebuild(8)
+    assert again.rows().count() == 5 and again.buckets == DigestIndex(spark, again.path).buckets == 8
     assert exact_dedup(docs_of([]), again, 2).count() == 0
     plan = again.unseen(docs_of(rows).selectExpr("text AS digest", "doc_id AS keep_id"))._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan

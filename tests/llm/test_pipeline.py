@@ -27,7 +27,7 @@ def tables(spark, tmp_path_factory):
     return rows, items, str(d)
 
 
-def test_stages(spark, tables):
+def test_stages(spark, tables, tmp_path):
     rows, items, d = tables
     docs = spark.read.parquet(f"{d}/documents.parquet")
     kept = []
@@ -35,7 +35,8 @@ def test_stages(spark, tables):
         out = stage(spark, docs, d)
         if name != "tokens":
             assert out.columns == docs.columns
-            docs = out.localCheckpoint()
+            out.write.parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
             kept.append({r.doc_id for r in docs.collect()})
     everything = {i for i, _, _ in rows}
     assert kept[0] == everything - {104, 105, 106}
@@ -86,3 +87,27 @@ def test_near_stage_against_brute_force(spark):
     assert between > 10
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in cp.unalike(spark, docs, "").collect()} == {i for i, t in top.items() if i == t} | {500}
+
+def test_rows_without_or_with_repeated_ids(spark, tmp_path):
+    """Stages go by rows: an id that comes with several texts, or none, neither saves nor loses a row."""
+    rnd = random.Random(3)
+    text = lambda n=50: " ".join(rnd.choice(WORDS["en"].split()) + str(rnd.randrange(500)) for _ in range(n))
+    a, b, c, item = text(), text(), text(), text(15)
+    near = " ".join([*b.split()[:-1], "changed"])
+    leaked = " ".join([text(20), item, text(20)])
+    long = text(40_000)
+    rows = [(1, a), (5, a), (1, c), (None, a), (1, c), (2, b), (None, near), (7, near), (None, leaked), (2, leaked), (None, long), (None, long), (3, text()), (3, text())]
+    spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, item), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(cp.STAGES[:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        kept.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr))
+    want = [(5, a), (1, c), (2, b), (7, near), (2, leaked), (None, long), *rows[-2:]]
+    assert kept[0] == sorted(rows, key=repr)
+    assert kept[1] == sorted(want, key=repr)
+    want.remove((7, near))
+    assert kept[2] == sorted(want, key=repr)
+    want.remove((2, leaked))
+    assert kept[3] == sorted(want, key=repr)

@@ -1,6 +1,9 @@
 """Corpus pipeline: language identification, exact and near deduplication, decontamination, tokens.
 
 Each stage works on all that its predecessor kept; the stages but the last return the columns of documents.
+Stages decide by rows (id and text), never by the id alone: rows without id or with repeated ids are documents of
+their own. Null, empty and wordless texts go in the first stage; very long texts are worked on whole; repeated rows
+leave one; an empty table gives no rows; columns of any other name pass unchanged.
 """
 
 from __future__ import annotations
@@ -23,20 +26,15 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of rows that repeat id and text, one."""
-    index = exact_dedup.DigestIndex(spark)
-    work = Scratch(spark, "distinct")
-    found = work.keep(exact_dedup.exact_dedup(docs, index), "found")
+    index = exact_dedup.DigestIndex(spark, buckets=exact_dedup.buckets_for(docs.count()))
+    out = exact_dedup.deduplicated(docs, index)
     index.drop()
-    out = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    if not found.groupBy("doc_id", "text_sha256").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.select(*docs.columns)
+    return out
 
 
 def unalike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word similarity from 0.8 on) stays: that of the smallest doc_id."""
-    gone = jaccard_join.jaccard_join(docs, SHINGLE, PERCENT).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

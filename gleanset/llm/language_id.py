@@ -5,9 +5,9 @@ vectors, permuted (rotated) by their place; a document bundles (sums) its trigra
 language's prototype bundles the normalised vectors of its training documents. A document gets the
 language whose prototype has the largest cosine with it.
 
-Scoring reads whole texts in one pass without a shuffle: a group of documents is a dense
-documents-by-trigrams count matrix, multiplied with the vectors of the group's trigrams. Prototypes
-are fitted on a sample of labelled rows of bounded size (``train_per_lang``).
+Scoring reads whole texts in one pass without a shuffle: a group of documents is a
+documents-by-trigrams count matrix, multiplied with the vectors of the group's trigrams, ``COLUMNS`` of them at a
+time. Prototypes are fitted on a sample of labelled rows of bounded size (``train_per_lang``).
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from ._text import batches
 
 DIMENSIONS = 1024
 #: The item memory has so many letters, and 0 for what is no letter; a letter's place is its code point modulo this prime.
-LETTERS = 251
+LETTERS = 8191
+BITS = 13  # of a letter's place in a trigram's code
 SEED = 11
 #: About so many documents of each language are learned from (all, where a language has fewer).
 TRAIN_PER_LANG = 1000
 GROUP_DOCS = 512
+COLUMNS = 2048
 UNKNOWN = "und"
 
 _cache: dict[str, np.ndarray] = {}
@@ -45,7 +47,7 @@ def _letter_table() -> np.ndarray:
 
 def item_memory(dimensions: int) -> np.ndarray:
     rng = np.random.Generator(np.random.PCG64(SEED))
-    return (rng.integers(0, 2, (LETTERS + 1, dimensions)) * 2 - 1).astype(np.float32)
+    return (rng.integers(0, 2, (LETTERS + 1, dimensions), dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +62,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes) - sizes
     c = np.concatenate([[0], _letter_table()[cp], [0]]).astype(np.int64)
     middle = np.flatnonzero(c[1:-1]) + 1
-    codes = (c[middle - 1] << 16) | (c[middle] << 8) | c[middle + 1]
+    codes = (c[middle - 1] << 2 * BITS) | (c[middle] << BITS) | c[middle + 1]
     owner = np.searchsorted(starts, middle - 1, "right") - 1
     has = np.zeros(len(texts), bool)
     has[owner] = True
@@ -69,7 +71,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def vectors(codes: np.ndarray, memory: np.ndarray) -> np.ndarray:
     """The bound vectors of trigram codes."""
-    return np.roll(memory, 2, 1)[codes >> 16] * np.roll(memory, 1, 1)[(codes >> 8) & 255] * memory[codes & 255]
+    letter = (1 << BITS) - 1
+    return (np.roll(memory[codes >> 2 * BITS], 2, 1) * np.roll(memory[(codes >> BITS) & letter], 1, 1) * memory[codes & letter]).astype(np.float32)
 
 
 def encode(texts: list[str], memory: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,19 +80,16 @@ def encode(texts: list[str], memory: np.ndarray) -> tuple[np.ndarray, np.ndarray
     codes, owner, has = trigrams(texts)
     if not len(codes):
         return np.zeros((len(texts), memory.shape[1]), np.float32), has
-    seen = np.zeros(1 << 24, bool) if len(codes) > 200_000 else None
-    if seen is not None:
-        seen[codes] = True
-        distinct = np.flatnonzero(seen)
-        place = np.zeros(1 << 24, np.int32)
-        place[distinct] = np.arange(len(distinct))
-        column = place[codes]
-    else:
-        distinct, column = np.unique(codes, return_inverse=True)
-    counts = np.bincount(owner * len(distinct) + column, minlength=len(texts) * len(distinct)).reshape(len(texts), -1)
+    order = np.argsort(codes)
+    codes, owner = codes[order], owner[order]
+    new = np.append(True, codes[1:] != codes[:-1])
+    distinct, column = codes[new], np.cumsum(new) - 1
     out = np.zeros((len(texts), memory.shape[1]), np.float32)
-    for a in range(0, len(distinct), 8192):
-        out += counts[:, a : a + 8192].astype(np.float32) @ vectors(distinct[a : a + 8192], memory)
+    for a in range(0, len(distinct), COLUMNS):
+        width = min(COLUMNS, len(distinct) - a)
+        i, j = np.searchsorted(column, (a, a + width))
+        counts = np.bincount(owner[i:j] * width + column[i:j] - a, minlength=len(texts) * width).reshape(len(texts), width)
+        out += counts.astype(np.float32) @ vectors(distinct[a : a + width], memory)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.maximum(norm, 1e-9), has
 
@@ -105,6 +105,12 @@ def held_out_rows(id_col: str = "doc_id", fold: int = 4, held: int = 2) -> Colum
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % fold == held, F.lit(False))
 
 
+def drawn(id_col: str, class_col: str, counts: dict, most: dict) -> Column:
+    """Whether a row is in a sample of about ``most[k]`` rows of each class k (of ``counts[k]``), by a 64-bit hash of its id."""
+    limit = {k: min(2**63 - 1, -(2**63) + most[k] * 2**64 // n) for k, n in counts.items()}
+    return F.xxhash64(id_col) <= F.create_map(*[F.lit(v) for kv in limit.items() for v in kv])[F.col(class_col)]
+
+
 def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, train_per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and their prototypes, from (doc_id, text, lang); rows without lang, id or text are left out.
 
@@ -115,8 +121,7 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, train_per_lang
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return [], np.zeros((0, dimensions), np.float32)
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(1e6 * min(1.0, train_per_lang / n)))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    sample = rows.where(drawn("doc_id", "lang", counts, dict.fromkeys(counts, train_per_lang))).select("lang", "text")
     memory = item_memory(dimensions)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +174,12 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, train_per_lang: int = T
 
 
 def language_id(docs: DataFrame, dimensions: int = DIMENSIONS, train_per_lang: int = TRAIN_PER_LANG) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row; learned from the rows that are not held out."""
+    """(doc_id, held_out, lang_pred, score) of every row; learned from the rows that are not held out.
+
+    Defined cases: null, empty and letterless texts are ``und`` with 0; very long texts are bundled whole; ties go to the
+    first language by name; rows without id are scored, not learned from; repeated rows are scored each; columns of other
+    names aren't looked at; an empty table gives no rows.
+    """
     langs, profiles = learn(docs, dimensions, train_per_lang)
     found = identify(text_of(docs, "doc_id", "text"), langs, profiles, keep_text=False)
     return found.select("doc_id", held_out_rows().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__cosine").alias("score"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._spark import load, text_of
 from ._text import WORDS, Words, batches, utf8
-from .language_id import held_out_rows
+from .language_id import drawn, held_out_rows
 
 WINDOW, STRIDE = 32, 24
 CHAR_ROWS = 1 << 12
@@ -339,11 +339,11 @@ def train(docs: DataFrame, labels: DataFrame, size: TrainSize = TrainSize()) ->
     if not counts:
         return fit([], [], size)
     most = {0: size.clean, 1: size.toxic}
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(1e6 * min(1.0, most[k] / n)))])
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("toxic")])
+    picked = known.where(drawn("doc_id", "toxic", counts, most))
     # Its size is bounded by the sample's: about size.toxic + size.clean ids.
     texts = text_of(docs, "doc_id", "text").where(F.char_length("text") <= size.chars)
-    rows = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
+    # An id with several texts has the label for all of them; the smallest text is learned from.
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], size)
 
@@ -366,7 +366,12 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, size: TrainSize = TrainSize()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``."""
+    """(doc_id, held_out, score, predicted) of every row of ``docs``.
+
+    Defined cases: null, empty and wordless texts score 0; very long texts are scored by all their windows; rows without id
+    are scored, not learned from; of contradicting labels of an id the toxic one holds; other columns aren't looked at;
+    without labels, or with those of one class, all scores are that class's; an empty table gives no rows.
+    """
     return score(docs, train(docs, labels, size)).select("doc_id", held_out_rows("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -39,3 +39,25 @@ def test_held_out_accuracy_and_edges(spark):
 def test_nothing_to_learn_from(spark):
     assert [tuple(r)[2:] for r in lid.language_id(frame(spark, [(1, "some text", None)])).collect()] == [("und", 0.0)]
     assert lid.language_id(frame(spark, [])).count() == 0
+
+
+def test_sample_of_a_huge_class(spark):
+    """With 5e9 rows of a class the threshold still draws some rows: about most / count of the hash's range."""
+    ids = spark.range(200_000).selectExpr("id AS doc_id", "'en' AS lang")
+    assert 70 < ids.where(lid.drawn("doc_id", "lang", {"en": 2_000_000_000}, {"en": 1_000_000})).count() < 130
+    assert ids.where(lid.drawn("doc_id", "lang", {"en": 10}, {"en": 1000})).count() == 200_000
+
+
+def test_many_letters_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.Generator(np.random.PCG64(4))
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 700).tolist())) for _ in range(500)]
+    memory = lid.item_memory(1024)
+    lid.encode(["warm"], memory)
+    tracemalloc.start()
+    v, has = lid.encode(texts, memory)
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and has.all()
+    tracemalloc.stop()
+    one = lid.encode(texts[3:4], memory)[0]
+    assert np.allclose(v[3], one[0], atol=1e-5)

@@ -4,14 +4,15 @@ A text is cut into chunks that overlap. Each chunk is split into pre-tokens on i
 neighbours are stitched at the first boundary that both have in their overlap. The pre-token pattern
 has no look-behind, so from a common boundary on both scans agree; boundaries near a chunk's cut end
 may be false (the pattern looks ahead) and are not trusted. Where an overlap has no common boundary
-the left chunk is scanned on. The pieces are then encoded by merge ranks; decoding concatenates the
-tokens' raw bytes.
+the left chunk is scanned on. Chunks of one text are split by ``THREADS`` threads at once. The pieces are then
+encoded by merge ranks, the lowest rank first; decoding concatenates the tokens' raw bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -25,6 +26,9 @@ from ._spark import load, text_of
 from ._text import batches
 
 CHUNK, OVERLAP = 1 << 16, 1 << 9
+THREADS = 4
+#: Pieces of more bytes are merged with a heap.
+SHORT = 48
 #: Pieces of texts repeat; so many encoded pieces are kept per worker.
 CACHE = 400_000
 #: Stand-ins for characters that libraries of different Unicode versions class differently: letter, number, space, other.
@@ -43,7 +47,9 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.find = regex.compile(pattern)
         self.rare = regex.compile(r"[^\x00-\u0377]")
-        self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.ranks = ranks
+        # Only tells how the library classes characters that Python doesn't know.
+        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.classes: dict[str, str] = {}
         self.raw = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -103,7 +109,7 @@ class Codec:
     def _class(self, c: str) -> str:
         if c not in self.classes:
             probe = f"a{c}1 {c} {c}{c}'s"
-            want, one = self.core.encode_ordinary(probe), self.core.encode_single_piece
+            want, one = self.library.encode_ordinary(probe), self.merged
             for k in STAND_INS:
                 e = [m.end() for m in self.find.finditer(probe.replace(c, k))]
                 if [i for a, b in zip([0, *e[:-1]], e, strict=True) for i in one(probe[a:b].encode())] == want:
@@ -118,6 +124,50 @@ class Codec:
         e = self.bounds(view)
         return [text[a:b] for a, b in zip([0, *e[:-1]], e, strict=True)]
 
+    def merged(self, piece: bytes) -> list[int]:
+        """Token ids of a piece: again and again the neighbours of the lowest rank merge, the leftmost first."""
+        ranks = self.ranks
+        if piece in ranks:
+            return [ranks[piece]]
+        if len(piece) > SHORT:
+            return self._merged_long(piece)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        while (least := min((r for r in pairs if r is not None), default=None)) is not None:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i])
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1])
+        return [ranks[p] for p in parts]
+
+    def _merged_long(self, piece: bytes) -> list[int]:
+        """The same for long pieces: a heap of pairs (rank, place), in which outdated pairs are passed over."""
+        ranks, n = self.ranks, len(piece)
+        end, left = list(range(1, n + 1)), list(range(-1, n))  # by where a part starts: its end, and where its left neighbour starts
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        alive = [True] * n
+        while heap:
+            _, i, to = heapq.heappop(heap)
+            if not alive[i] or end[i] >= to or end[end[i]] != to:
+                continue
+            j = end[i]
+            alive[j], end[i] = False, to
+            if to < n:
+                left[to] = i
+                if (r := ranks.get(piece[i : end[to]])) is not None:
+                    heapq.heappush(heap, (r, i, end[to]))
+            if i and (r := ranks.get(piece[left[i] : to])) is not None:
+                heapq.heappush(heap, (r, left[i], to))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[piece[i : end[i]]])
+            i = end[i]
+        return out
+
     def encode(self, text: str) -> np.ndarray:
         """Token ids, little-endian unsigned 32-bit integers."""
         seen, pieces = self.seen, self.pieces(text)
@@ -127,10 +177,9 @@ class Codec:
             pass
         if len(seen) > CACHE:
             seen.clear()
-        one = self.core.encode_single_piece
         for p in set(pieces):
             if p not in seen:
-                seen[p] = np.array(one(p.encode("utf-8")), dtype="<u4").tobytes()
+                seen[p] = np.array(self.merged(p.encode("utf-8")), dtype="<u4").tobytes()
         return np.frombuffer(b"".join([seen[p] for p in pieces]), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -142,7 +191,7 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     """One codec per worker process and vocabulary."""
     key = (ranks_path, pattern)
     if key not in _LOADED:
-        _LOADED[key] = Codec(ranks_path, pattern)
+        _LOADED[key] = Codec(ranks_path, pattern, threads=THREADS)
     return _LOADED[key]
 
 
@@ -176,7 +225,11 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass over the texts."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass over the texts.
+
+    Defined cases: null and empty texts have no tokens; very long texts are split by chunks and stitched; of equal ranks the
+    leftmost pair merges first; repeated rows are encoded each; other columns aren't looked at; an empty table gives no rows.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(ranks_path, pattern), lambda x: hashlib.sha256(x).hexdigest()

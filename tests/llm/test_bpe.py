@@ -58,3 +58,22 @@ def test_rows(spark, docs_of, reference):
     back = bpe.bpe_decode(bpe.bpe_encode(docs_of(rows), PATH, PATTERN), PATH, PATTERN).collect()
     assert sorted(bytes(r.text) for r in back) == sorted((t or "").encode() for _, t in rows)
     assert bpe.bpe_digest(docs_of([]), PATH, PATTERN).count() == 0
+
+
+def test_merges_against_the_library():
+    """The merge loop, short and long pieces, against the library's encoder."""
+    import base64
+    import random
+
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    codec, rnd = bpe.Codec(path, pattern), random.Random(4)
+    for n in [1, 2, 3, 5, 9, 20, 47, 48, 49, 60, 200, 3000] * 12:
+        letters = rnd.choice(["ab", "theandingor", "aeioubcdfgß", "日本語の", "0123456789", "§=-"])
+        piece = "".join(rnd.choice(letters) for _ in range(n))
+        want = library._encode_single_piece(piece) if hasattr(library, "_encode_single_piece") else library._core_bpe.encode_single_piece(piece.encode())
+        assert codec.merged(piece.encode()) == want == codec._merged_long(piece.encode()), piece
+    assert codec.decode(codec.encode("z" * 200_000)) == b"z" * 200_000

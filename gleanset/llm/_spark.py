@@ -30,19 +30,23 @@ class Scratch:
     ``keep`` writes a frame and reads it again; ``drop`` removes tables that are no longer read.
     """
 
-    #: Shuffle files of a finished write are of no more use: the table replaces them.
-    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    #: While a table is written: its shuffle files go when it is done, which they are of no more use for, and Python
+    #: workers get batches of a few MB of texts at once.
+    CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/gleanset/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(self.CLEANUP, "false")
-        self.spark.conf.set(self.CLEANUP, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in self.CONF}
+        for k, v in self.CONF.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(f"{self.at}/{name}")
         finally:
-            self.spark.conf.set(self.CLEANUP, before)
+            for k, v in before.items():
+                conf.set(k, v)
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:

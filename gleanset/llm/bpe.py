@@ -29,11 +29,12 @@ CHUNK, OVERLAP = 1 << 16, 1 << 9
 THREADS = 4
 #: Pieces of more bytes are merged with a heap.
 SHORT = 48
-#: Pieces of texts repeat; so many encoded pieces are kept per worker.
-CACHE = 400_000
+#: Beyond every rank.
+NONE = 1 << 32
+#: Pieces of texts repeat; so many encoded pieces are kept in a task.
+CACHE = 100_000
 #: Stand-ins for characters that libraries of different Unicode versions class differently: letter, number, space, other.
 STAND_INS = ("\u0250", "0", "\u2003", "\u00a7")
-_LOADED: dict[tuple[str, str], Codec] = {}
 
 
 class Codec:
@@ -41,16 +42,15 @@ class Codec:
 
     def __init__(self, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, threads: int = 1):
         import regex
-        import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.find = regex.compile(pattern)
         self.rare = regex.compile(r"[^\x00-\u0377]")
         self.ranks = ranks
-        # Only tells how the library classes characters that Python doesn't know.
-        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pattern = pattern
         self.classes: dict[str, str] = {}
+        self.library = None
         self.raw = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.raw[rank] = token
@@ -108,6 +108,10 @@ class Codec:
 
     def _class(self, c: str) -> str:
         if c not in self.classes:
+            if self.library is None:  # only tells how it classes characters that Python doesn't know
+                import tiktoken
+
+                self.library = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
             probe = f"a{c}1 {c} {c}{c}'s"
             want, one = self.library.encode_ordinary(probe), self.merged
             for k in STAND_INS:
@@ -131,17 +135,17 @@ class Codec:
             return [ranks[piece]]
         if len(piece) > SHORT:
             return self._merged_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while (least := min((r for r in pairs if r is not None), default=None)) is not None:
-            i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+        # at[i] is where the i-th part starts; rank[i] that of the i-th and the next part together.
+        at, get = list(range(len(piece) + 1)), ranks.get
+        rank = [get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+        while rank and (least := min(rank)) < NONE:
+            i = rank.index(least)
+            del at[i + 1], rank[i]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i])
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1])
-        return [ranks[p] for p in parts]
+                rank[i - 1] = get(piece[at[i - 1] : at[i + 1]], NONE)
+            if i < len(rank):
+                rank[i] = get(piece[at[i] : at[i + 2]], NONE)
+        return [ranks[piece[a:b]] for a, b in zip(at, at[1:], strict=False)]
 
     def _merged_long(self, piece: bytes) -> list[int]:
         """The same for long pieces: a heap of pairs (rank, place), in which outdated pairs are passed over."""
@@ -188,11 +192,8 @@ class Codec:
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:
-    """One codec per worker process and vocabulary."""
-    key = (ranks_path, pattern)
-    if key not in _LOADED:
-        _LOADED[key] = Codec(ranks_path, pattern, threads=THREADS)
-    return _LOADED[key]
+    """A codec of one task: workers outlive it, and would hold its ranks and pieces beside those of later stages."""
+    return Codec(ranks_path, pattern, threads=THREADS)
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

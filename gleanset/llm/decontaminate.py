@@ -28,7 +28,7 @@ from ._text import WORDS, Words, batches, utf8
 WINDOW = 10
 #: A block holds so many bytes of benchmark text, or one item.
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 @dataclass
@@ -224,7 +224,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the
     longest verbatim match: longest_words, longest_item, longest_at (its first word in the document).
 
-    Defined cases: null or empty texts have no words and no hits; items without words have no window;
+    Defined cases: null or empty texts have no words and no hits; a very long text is a shard of its own; of equally long
+    matches the first by place is the longest; other columns aren't looked at; items without words have no window;
     items of fewer words than ``window`` are one window; words of an item with a null item_id count as
     hit, the item isn't listed; repeated item_ids count once; an empty benchmark hits nothing.
     """
@@ -238,13 +239,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return df
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, all columns kept. Rows go by their own text, whatever their ids:
-    a contaminated row without id goes too, and a clean row that shares its id with one stays."""
-    key = F.xxhash64(id_col, F.col(text_col).cast("string"))
-    keyed = docs.select(key.alias("__row"), F.col(text_col).alias("__text"))
-    hit = contamination(keyed, benchmark, id_col="__row", text_col="__text", **options).where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
-    return docs.withColumn("__row", key).join(hit, "__row", "left_anti").select(*docs.columns)
+def _without(block: Block, text_col: str):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(parts, text_col, SHARD_BYTES):
+            w = Words(*utf8(b.column(text_col)), WORDS)
+            rows = matches(w, block)
+            clean = np.ones(b.num_rows, bool)
+            clean[w.doc[rows[:, 0]]] = False
+            yield b.filter(pa.array(clean))
+
+    return run
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, all columns kept, in one pass without a shuffle. Rows go by their own
+    text, whatever their ids: a contaminated row without id goes too, and a clean row that shares its id with one stays."""
+    for block in blocks(benchmark, item_col, item_text_col, block_bytes, window):
+        docs = docs.mapInArrow(_without(block, text_col), docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ The coverage of a template is the share of its words that are aligned.
 
 Where a document may hold a template is found by votes: each place of a telling template word (one that
 isn't a function word) votes for the place where the template would begin, and stretches with enough
-votes for the wanted coverage are aligned. So several notices in one document are found each. One pass
+votes for the wanted coverage are aligned. So several notices in one document are found each. Of templates of
+``LONG`` words, all stretches are aligned that hold enough different telling words within the template's length
+and ``SPREAD`` words more, so that words put in between don't hide them. One pass
 over whole texts, without a shuffle; the templates are constants of the job.
 """
 
@@ -24,6 +26,8 @@ from ._spark import load, text_of
 from ._text import WORDS, Words, batches, utf8
 
 COVERAGE = 0.8
+#: Templates of so many words are found also where foreign words part them, ``SPREAD`` at most in all.
+LONG, SPREAD = 20, 400
 
 # License notices and texts as their publishers give them (placeholders left out).
 TEMPLATES = {
@@ -110,6 +114,35 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def stretches(at: np.ndarray, word: np.ndarray, template: Template, coverage: float) -> list[tuple[int, int]]:
+    """Stretches of a text (first and end word) that may hold a template of which up to ``SPREAD`` foreign words part the words.
+
+    ``at`` has the places of telling words, ``word`` the words there. A stretch has as many different ones as the coverage needs.
+    """
+    n, telling = len(template.words), np.unique(template.words[template.telling])
+    need = max(1, int(np.ceil(len(telling) - n * (1 - coverage))))
+    at, which = np.unique(at, return_index=True)
+    word = np.searchsorted(telling, word[which])
+    if len(np.unique(word)) < need:
+        return []
+    count, different, j, out = np.zeros(len(telling), np.int64), 0, 0, []
+    for i in range(len(at)):
+        while j < len(at) and at[j] < at[i] + n + SPREAD:
+            different += count[word[j]] == 0
+            count[word[j]] += 1
+            j += 1
+        if different >= need:
+            # All that a template whose first telling word stands here may take.
+            a, b = int(max(0, at[i] - n)), int(at[i] + 2 * n + SPREAD)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+        count[word[i]] -= 1
+        different -= count[word[i]] == 0
+    return out
+
+
 def find(text: np.ndarray, template: Template, coverage: float = COVERAGE) -> list[tuple[float, int, int]]:
     """(coverage, first word, end word) of every place of a template in a document's words; places don't overlap."""
     n, words = len(template.words), template.words
@@ -131,11 +164,23 @@ def find(text: np.ndarray, template: Template, coverage: float = COVERAGE) -> li
     neighbour = dict(zip(cells.tolist(), number.tolist(), strict=True))
     likely = [c for c in cells.tolist() if sum(neighbour.get(c + k, 0) for k in (-1, 0, 1)) >= need]
     out: list[tuple[float, int, int]] = []
-    for c in likely:
-        a, b = max(0, (c - 1) * slack), min(len(text), (c + 2) * slack + n + slack)
+
+    def aligned(a: int, b: int) -> tuple[int, int] | None:
         pairs = align(text[a:b].tolist(), words.tolist())
-        if pairs and len(pairs) >= coverage * n - 1e-9:
-            out.append((len(pairs) / n, a + pairs[0][0], a + pairs[-1][0] + 1))
+        if not pairs or len(pairs) < coverage * n - 1e-9:
+            return None
+        out.append((len(pairs) / n, a + pairs[0][0], a + pairs[-1][0] + 1))
+        return out[-1][1:]
+
+    for c in likely:
+        aligned(max(0, (c - 1) * slack), min(len(text), (c + 2) * slack + n + slack))
+    if n >= LONG:
+        # Stretches that hold enough different telling words, however they are spread; what lies beside a find is searched again.
+        todo = stretches(at[votes], words[place[votes]], template, coverage)
+        while todo:
+            a, b = todo.pop()
+            if found := aligned(a, min(b, len(text))):
+                todo += [(x, y) for x, y in ((a, found[0]), (found[1], b)) if y - x >= coverage * n]
     best: list[tuple[float, int, int]] = []
     for x in sorted(out, key=lambda x: (-x[0], x[2] - x[1], x[1])):
         if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
@@ -147,8 +192,9 @@ def license_scan(docs: DataFrame, texts: dict[str, str] | None = None, coverage:
     """One row per row of ``docs``: doc_id, n_found, best_license, best_coverage, found (array of license,
     coverage, first and end word), sorted by place and name.
 
-    Defined cases: null, empty and unmatched texts have nothing found, best_license null and coverage 0;
-    ties go to the first license by name; repeated rows are scanned each; an empty table gives no rows.
+    Defined cases: null, empty and unmatched texts have nothing found, best_license null and coverage 0; very long texts
+    are scanned whole; ties go to the first license by name; repeated rows are scanned each; other columns aren't looked at;
+    an empty table gives no rows.
     """
     known = templates_of(TEMPLATES if texts is None else texts)
     telling = np.unique(np.concatenate([t.words[t.telling] for t in known])) if known else np.zeros(0, np.uint64)

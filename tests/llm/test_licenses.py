@@ -46,3 +46,31 @@ def test_scan(spark, docs_of):
     assert got[104][0].best_license == "MIT" and got[104][0].best_coverage > 0.95
     assert [x.license for x in got[105][0].found] == ["MIT-notice"] * 2
     assert licenses.license_scan(docs_of([])).count() == 0
+
+
+def test_insertions_against_whole_alignment():
+    """Wherever aligning a template with the whole text covers it, with up to SPREAD foreign words in between, it is found."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gleanset.llm._text import WORDS, Words, utf8
+
+    rnd = random.Random(6)
+    hashed = lambda t: Words(*utf8(pa.array([t])), WORDS).hash
+    foreign = lambda k: [f"zz{rnd.randrange(10**6)}" for _ in range(k)]
+    for t in licenses.templates_of(TEMPLATES):
+        if len(t.words) < licenses.LONG:
+            continue
+        whole = TEMPLATES[t.name].split()
+        for pieces, size in ((1, 60), (1, 120), (1, 200), (3, 40), (5, 60)):
+            words = list(whole)
+            for _ in range(pieces):
+                at = rnd.randrange(1, len(words))
+                words[at:at] = foreign(size)
+            text = hashed(" ".join([*foreign(300), *words, *foreign(300)]))
+            brute = len(align(text.tolist(), t.words.tolist())) / len(t.words)
+            got = max((c for c, _, _ in licenses.find(text, t)), default=0)
+            assert brute >= licenses.COVERAGE and got >= licenses.COVERAGE, (t.name, pieces, size, brute, got)
+        assert licenses.find(hashed(" ".join(foreign(2000))), t) == []
+        twice = hashed(" ".join([*whole, *foreign(50), *whole]))
+        assert len(licenses.find(np.asarray(twice), t)) == 2

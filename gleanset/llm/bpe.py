@@ -32,7 +32,7 @@ SHORT = 48
 #: Beyond every rank.
 NONE = 1 << 32
 #: Pieces of texts repeat; so many encoded pieces are kept in a task.
-CACHE = 100_000
+CACHE = 300_000
 #: Stand-ins for characters that libraries of different Unicode versions class differently: letter, number, space, other.
 STAND_INS = ("\u0250", "0", "\u2003", "\u00a7")
 

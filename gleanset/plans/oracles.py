@@ -142,7 +142,55 @@ s{i + 1} AS (SELECT * FROM s{i} WHERE {path(i)} IN (SELECT path FROM g{i} WHERE
     return out + " " + " UNION ALL ".join(picks)
 
 
+#: Of each class's pairs (i, j) of standardised rows the squared distance.
+SPREAD = f"""{E}, {P}, st AS (SELECT i, avg(v) AS m, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS s FROM p GROUP BY i),
+ze AS (SELECT row_id, label, list((v - m) / s ORDER BY i) AS f FROM p JOIN st USING (i) GROUP BY ALL),
+pd AS MATERIALIZED (SELECT a.label, a.row_id AS i, b.row_id AS j, {sqd('a.f', 'b.f')} AS d FROM ze a JOIN ze b ON a.label = b.label)"""
+
+
+def block_round(r: int, trials: int = 2, block: int = 10, salt: int = 700) -> str:
+    """Round r of a subset that grows by blocks: what is chosen and a drawn block, by trial, and the trial of the least error."""
+    chosen = "SELECT 0 AS row_id LIMIT 0" if r == 0 else f"SELECT row_id FROM s{r - 1} WHERE t = (SELECT t FROM b{r - 1})"
+    return f"""c{r} AS ({chosen}), s{r} AS (SELECT t, row_id FROM c{r}, ts UNION ALL
+  (SELECT t, row_id FROM gl, ts WHERE row_id NOT IN (SELECT row_id FROM c{r}) QUALIFY row_number() OVER (PARTITION BY t ORDER BY md5(row_id::VARCHAR || '|{salt}|{r}|' || t), row_id) <= {block})),
+n{r} AS (SELECT t, gl.row_id, arg_min(x.row_id, {{'d': {sqd('gl.f', 'x.f')}, 'c': x.row_id}}) AS rep_id FROM gl, s{r} JOIN gl x ON x.row_id = s{r}.row_id GROUP BY ALL),
+w{r} AS (SELECT t, rep_id AS row_id, count(*) AS w FROM n{r} GROUP BY ALL),
+e{r} AS (SELECT t, sqrt(sum((a - coalesce(b, 0)) * (a - coalesce(b, 0)))) / (sqrt(sum(a * a)) + 1e-12) AS ge
+  FROM (SELECT t, c, sum(g) AS a, sum(g * w) AS b FROM (SELECT ts.t, g.* FROM g, ts) g LEFT JOIN w{r} USING (t, row_id) GROUP BY ALL) GROUP BY t),
+b{r} AS (SELECT arg_min(t, {{'e': round(ge, 9), 't': t}}) AS t FROM e{r})"""
+
+
+def thinned(trees: int, keep: int, share: float) -> str:
+    """Rows that are left when pure groups, the largest first, are thinned while their class keeps enough rows."""
+    path = lambda i: " || '_' || ".join(f"(embedding[{k}] > 0)::INT::VARCHAR" for k in range(1, i + 2))
+    rows = " UNION ALL ".join(f"SELECT vec_id, {path(i)} AS path FROM embeddings" for i in range(trees))
+    return f"""WITH pg AS ({pure_groups(trees)}), cc AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+ch AS (SELECT path, floor((1 - {share}::DOUBLE) * size) AS gone FROM pg JOIN cc USING (label) QUALIFY n - sum(size) OVER (PARTITION BY label ORDER BY size DESC, path ROWS UNBOUNDED PRECEDING) >= {keep}),
+dr AS (SELECT vec_id FROM (SELECT vec_id, gone, row_number() OVER (PARTITION BY path ORDER BY {order('vec_id', '0')}, vec_id) AS r FROM ({rows}) JOIN ch USING (path)) WHERE r <= gone)
+SELECT vec_id AS row_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM dr)"""
+
+
 SQL = {
+    "farthest_first": f"""WITH RECURSIVE {E}, {allocation(N6)}, h(label, r, used, seen) AS (SELECT label, 0, []::BIGINT[], []::DOUBLE[][] FROM al UNION ALL
+SELECT h.label, h.r + 1, list_append(h.used, b.row_id), list_append(h.seen, b.f) FROM h JOIN al ON al.label = h.label,
+  LATERAL (SELECT row_id, f FROM e x WHERE x.label = h.label AND NOT list_contains(h.used, x.row_id)
+    ORDER BY CASE WHEN h.r = 0 THEN list_dot_product(x.f, x.f) ELSE list_min(list_transform(h.seen, lambda u: {sqd('x.f', 'u')})) END DESC, row_id LIMIT 1) b WHERE h.r < al.k)
+SELECT label, r - 1 AS pick, used[r] AS row_id FROM h WHERE r > 0""",
+    "goodcore_greedy": f"""WITH RECURSIVE {SPREAD}, {allocation(N6)}, h(label, r, used) AS (SELECT label, 1, [min(row_id)] FROM e GROUP BY label UNION ALL
+SELECT label, r, used FROM (SELECT x.label, x.r + 1 AS r, list_append(x.used, x.j) AS used, row_number() OVER (PARTITION BY x.label ORDER BY x.gain DESC, x.j) AS o
+  FROM (SELECT b.label, b.r, b.used, pd.j, sum(greatest(b.best - pd.d, 0)) AS gain
+    FROM (SELECT h.label, h.r, h.used, pd.i, min(pd.d) AS best FROM h JOIN al ON al.label = h.label JOIN pd ON pd.label = h.label WHERE h.r < al.k AND list_contains(h.used, pd.j) GROUP BY ALL) b
+    JOIN pd ON pd.label = b.label AND pd.i = b.i WHERE NOT list_contains(b.used, pd.j) GROUP BY ALL) x) WHERE o = 1)
+SELECT label, r - 1 AS pick, used[r] AS row_id FROM h""",
+    "weighted_coverage": f"""WITH RECURSIVE {RES.removeprefix('WITH ')}, pd AS MATERIALIZED (SELECT a.row_id AS i, b.row_id AS j, (a.row_id % 10 + 1) / 10.0::DOUBLE AS w, {sqd('a.f', 'b.f')} AS d FROM gl a, gl b),
+h(r, used) AS (SELECT 1, [(SELECT j FROM pd GROUP BY j ORDER BY sum(w * d), j LIMIT 1)] UNION ALL
+SELECT r, used FROM (SELECT x.r + 1 AS r, list_append(x.used, x.j) AS used, row_number() OVER (ORDER BY x.gain DESC, x.j) AS o
+  FROM (SELECT b.r, b.used, pd.j, sum(pd.w * greatest(b.best - pd.d, 0)) AS gain
+    FROM (SELECT h.r, h.used, pd.i, min(pd.d) AS best FROM h JOIN pd ON list_contains(h.used, pd.j) WHERE h.r < 12 GROUP BY ALL) b
+    JOIN pd ON pd.i = b.i WHERE NOT list_contains(b.used, pd.j) GROUP BY ALL) x) WHERE o = 1)
+SELECT r - 1 AS pick, used[r] AS row_id FROM h""",
+    "incremental_blocks": f"{RES}, ts AS (SELECT unnest(range(2)) AS t), {block_round(0)}, {block_round(1)} SELECT row_id FROM s1 WHERE t = (SELECT t FROM b1)",
+    "coretab_thinned": thinned(8, 10, 0.03),
     "coretab_groups": pure_groups(8),
     "leaf_homogeneity": f"""WITH r AS (SELECT row_number() OVER () AS id, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS label, * FROM lineitem),
 x AS ({" UNION ALL ".join(f"SELECT id, label, {t} AS tree, floor({c})::INT AS leaf FROM r" for t, c in enumerate(("l_quantity / 10", "l_extendedprice / 2000", "l_discount * 20 + 0.5")))}),

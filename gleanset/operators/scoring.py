@@ -7,6 +7,7 @@ evaluate each logit many times); what follows from the C probabilities of a row
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -94,6 +95,11 @@ def residual(probs: Column, label: Column, n_classes: int) -> Column:
     return V.clip(V.sub(probs, V.one_hot(label, n_classes)))
 
 
+def soft_loss(probs: Column, soft: Column) -> Column:
+    """The cross-entropy of a soft target."""
+    return V.cross_entropy(probs, soft)
+
+
 def last_layer_gradient(probs: Column, label: Column, n_classes: int, hidden: Column) -> Column:
     """(p - q) followed by all products (p - q) x h."""
     r = V.sub(probs, V.one_hot(label, n_classes))
@@ -172,6 +178,20 @@ class Mlp:
         self.m = [np.zeros_like(p) for p in (*self.w, *self.b)]
         self.v = [np.zeros_like(p) for p in (*self.w, *self.b)]
 
+    def state(self) -> np.ndarray:
+        """Parameters and both moments as one vector."""
+        return np.concatenate([p.ravel() for p in (*self.w, *self.b, *self.m, *self.v)])
+
+    def with_state(self, state: np.ndarray, t: int, seed) -> Mlp:
+        """A perceptron of the same shape with these parameters and moments, after t steps."""
+        out = copy.deepcopy(self)
+        at = 0
+        for p in (*out.w, *out.b, *out.m, *out.v):
+            p[...] = state[at : at + p.size].reshape(p.shape)
+            at += p.size
+        out.t, out.rng = t, np.random.default_rng(seed)
+        return out
+
     def hidden(self, x: np.ndarray) -> np.ndarray:
         for w, b in zip(self.w[:-1], self.b[:-1], strict=True):
             x = np.maximum(x @ w + b, 0)

@@ -99,11 +99,16 @@ def _terms(w: Words) -> np.ndarray:
 def _byte_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     if text.isascii():
         return [(a, b) for a, _, b in spans]
-    return [(len(text[:a].encode()), len(text[:b].encode())) for a, _, b in spans]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    return [(int(at[a]), int(at[b])) for a, _, b in spans]
 
 
 def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term, context) hashes of every document, once each; term 0 says that the document has the entity."""
+    """(entity, term, context, documents) of every document, once each; term 0 says that the document has the entity.
+
+    The first context of each entity and term in a document counts 1 document, the others 0.
+    """
     for b in batches(parts):
         rows = []
         for text in b.column("text").to_pylist():
@@ -111,23 +116,27 @@ def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not spans:
                 continue
             w = Words(*utf8(pa.array([text], pa.large_string())), WORDS)
-            ok, bytes_, mine = _terms(w), _byte_spans(text, spans), set()
-            for a, z in bytes_:
-                ok[(w.starts < z) & (w.ends > a)] = False
+            ok, mine, counted = _terms(w), set(), set()
+            x = np.array(_byte_spans(text, spans), np.int64)
+            # Words before and after each span; those between touch it.
+            before, after = np.searchsorted(w.ends, x[:, 0], "right").tolist(), np.searchsorted(w.starts, x[:, 1]).tolist()
+            for i, j in zip(before, after, strict=True):
+                ok[i:j] = False
             h = w.hash.view(np.int64)
-            for span, (a, z) in zip(spans, bytes_, strict=True):
+            for span, i, j in zip(spans, before, after, strict=True):
                 e = _entity(text, span)
                 mine.add((e, 0, 0))
-                i, j = int(np.searchsorted(w.ends, a, "right")), int(np.searchsorted(w.starts, z))
                 near = np.concatenate([np.arange(max(0, i - CONTEXT), i), np.arange(j, min(len(h), j + CONTEXT))])
                 near = near[ok[near]]
                 if len(near):
                     c = int(np.bitwise_xor.reduce(h[near] * np.arange(1, 2 * len(near), 2, dtype=np.int64)))
                     mine.update((e, t, c) for t in h[near].tolist())
-            rows += mine
+            for e, t, c in mine:
+                rows.append((e, t, c, int((e, t) not in counted)))
+                counted.add((e, t))
         if rows:
             x = np.array(rows, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2])], ["entity", "term", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)], ["entity", "term", "context", "documents"])
 
 
 def _frequencies(wanted: KeyFilter):
@@ -146,14 +155,14 @@ def _frequencies(wanted: KeyFilter):
 
 def disclosing_terms(texts: DataFrame, work: Scratch) -> DataFrame:
     """(term): hashes of the terms that reveal some entity beyond the thresholds; ``texts`` has the column text."""
-    seen = texts.mapInArrow(_contexts, "entity long, term long, context long").groupBy("entity", "term", "context").count()
-    pairs = work.keep(seen.groupBy("entity", "term").agg(F.sum("count").alias("together"), F.count(F.lit(1)).alias("contexts")), "pairs")
+    seen = texts.mapInArrow(_contexts, "entity long, term long, context long, documents long").groupBy("entity", "term", "context").agg(F.sum("documents").alias("n"))
+    pairs = work.keep(seen.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("contexts")), "pairs")
     likely = work.keep(pairs.where(f"term <> 0 AND contexts >= {MIN_CONTEXTS}"), "likely")
     wanted = KeyFilter(likely.select("term").distinct(), "term")
     documents = texts.mapInArrow(_frequencies(wanted), "term long, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
     entities = pairs.where("term = 0").select("entity", F.col("together").alias("with_entity"))
     everything = texts.select(F.count(F.lit(1)).alias("n")).first()["n"]
-    share = F.least(F.lit(1.0), F.col("together") / F.col("documents"))
+    share = F.col("together") / F.col("documents")
     bits = F.log2(share / (F.col("with_entity") / F.lit(max(1, everything))))
     return likely.join(documents, "term").join(entities, "entity").where((share >= MIN_SHARE) & (bits >= MIN_BITS)).select("term").distinct()
 
@@ -169,15 +178,17 @@ def _mark(terms: np.ndarray, first: bool):
                 w = Words(*utf8(b.column("text")), WORDS)
                 place = np.minimum(np.searchsorted(terms, w.hash), len(terms) - 1)
                 hit = np.flatnonzero((terms[place] == w.hash) & _terms(w))
-                owner = w.doc[hit]
-                for i, d in zip(hit.tolist(), owner.tolist(), strict=True):
-                    lo, hi = (int(x[i] - w.offsets[d]) for x in (w.starts, w.ends))
+                docs, begins = np.unique(w.doc[hit], return_index=True)
+                for d, mine in zip(docs.tolist(), np.split(hit, begins)[1:], strict=True):
+                    lo, hi = w.starts[mine] - w.offsets[d], w.ends[mine] - w.offsets[d]
                     if not texts[d].isascii():
-                        raw = w.data[w.offsets[d] : w.offsets[d + 1]]
-                        lead = lambda n, raw=raw: int(np.count_nonzero((raw[:n] & 0xC0) != 0x80))
-                        lo, hi = lead(lo), lead(hi)
-                    if not any(a < hi and lo < z for a, k, z in found[d] if k < 4):
-                        found[d].append((lo, 4, hi))
+                        points = np.concatenate([[0], np.cumsum((w.data[w.offsets[d] : w.offsets[d + 1]] & 0xC0) != 0x80)])
+                        lo, hi = points[lo], points[hi]
+                    base = np.array(sorted((a, z) for a, k, z in found[d] if k < 4), np.int64).reshape(-1, 2)
+                    # A base span overlaps if, of those that begin before the term's end, the last to end does so after its start.
+                    reach = np.concatenate([[0], np.maximum.accumulate(base[:, 1])])
+                    free = reach[np.searchsorted(base[:, 0], hi)] <= lo
+                    found[d] += [(x, 4, y) for x, y in zip(lo[free].tolist(), hi[free].tolist(), strict=True)]
             rows = [[{"from": a, "kind": k, "to": z} for a, k, z in sorted(x)] for x in found]
             kind = pa.list_(pa.struct([("from", pa.int32()), ("kind", pa.int32()), ("to", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(rows, kind)], ["doc_id", "text", "spans"])
@@ -188,7 +199,7 @@ def _mark(terms: np.ndarray, first: bool):
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, spans): all spans (from, kind, to) of every row, kinds 0 to 3 as listed and 4 for disclosing terms.
 
-    Defined cases: null texts count as empty and have no spans; repeated rows are marked each; disclosing
+    Time is about linear in the length of a text and its spans. Defined cases: null texts count as empty and have no spans; repeated rows are marked each; disclosing
     terms inside a base span aren't marked again; an empty table gives no rows.
     """
     work = Scratch(docs.sparkSession, "pii")

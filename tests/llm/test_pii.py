@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pyarrow as pa
 
 from gleanset.llm import pii
 
@@ -61,3 +64,41 @@ def test_query_digest(spark, tmp_path, docs_of):
     got = {r.doc_id: r for r in pii.query(spark, str(tmp_path)).collect()}
     assert got[1].spans == "email:0:15,ip:20:28" and (got[1].n_email, got[1].n_ip, got[1].n_card) == (1, 1, 0)
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_documents_are_counted_once_for_each_entity_and_term():
+    near = " ".join(["alpha ann@example.com beta " + "filler " * 20, "gamma ann@example.com alpha " + "filler " * 20, "alpha bob@example.com"])
+    rows = [r for b in pii._contexts(iter([pa.RecordBatch.from_pydict({"text": [near, near, None, "no entity"]})])) for r in b.to_pylist()]
+    pairs = {}
+    for r in rows:
+        n, contexts = pairs.setdefault((r["entity"], r["term"]), [0, set()])
+        pairs[r["entity"], r["term"]] = [n + r["documents"], contexts | {r["context"]}]
+    assert len(pairs) > 6 and all(n == 2 for n, _ in pairs.values())
+    assert max(len(c) for _, c in pairs.values()) == 2
+
+
+def test_terms_are_marked_where_no_base_span_is():
+    rnd = random.Random(9)
+    parts = ["alpha", "beta", "é", "ann@example.com", "x@alpha.com", "10.0.0.1", "+1 555 123 4567", "word", "😀"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(300)] + ["", None]
+    data, offsets = pii.utf8(pa.array(["alpha beta"], pa.large_string()))
+    import numpy as np
+
+    terms = np.sort(pii.Words(data, offsets, pii.WORDS).hash)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [t or "" for t in texts]})
+    for b in pii._mark(terms, True)(iter([batch])):
+        for i, spans in zip(b.column("doc_id").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            base = brute(texts[i])
+            words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", texts[i] or "") if m[0] in ("alpha", "beta")]
+            want = sorted(base + [(a, 4, z) for a, z in words if not any(x < z and a < y for x, _, y in base)])
+            assert [tuple(s.values()) for s in spans] == want, texts[i]
+
+
+def test_a_long_text_of_addresses_takes_little_time():
+    text = " ".join(f"user{i}é some words of alpha near to u{i}@ex.org" for i in range(60_000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    began = time.monotonic()
+    assert sum(b.num_rows for b in pii._contexts(iter([batch.select(["text"])]))) > 60_000
+    terms = pii.Words(*pii.utf8(pa.array(["alpha"], pa.large_string())), pii.WORDS).hash
+    (b,) = pii._mark(terms, True)(iter([batch]))
+    assert len(b.column("spans")[0]) == 120_000 and time.monotonic() - began < 30

@@ -310,4 +310,6 @@ SELECT r.row_id AS rep_id, count(nn.row_id)::DOUBLE AS sample_weight FROM reps r
     "experiment_pivot": """SELECT year(o_orderdate) AS year, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS F, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 4) AS O, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 4) AS P FROM orders GROUP BY ALL""",
     "experiment_transpose": " UNION ALL ".join(f"SELECT '{m}' AS metric, " + ", ".join(f"(SELECT {x} FROM orders WHERE o_orderstatus = '{k}') AS {k}" for k in "FOP") for m, x in (("n", "count(*)::DOUBLE"), ("avg_price", "round(avg(o_totalprice), 4)"))),
     "job_matrix": "SELECT r_name AS dataset, n_name AS method, rate FROM region, (SELECT n_name FROM nation WHERE n_nationkey < 5), (VALUES (0.0::DOUBLE), (0.1), (0.2), (0.3)) v(rate) WHERE r_name <> 'ASIA' OR rate = 0",
+    "training_overlay": """WITH a AS (SELECT vec_id AS row_id, label, abs(embedding[1]::DOUBLE) AS x, abs(embedding[2]::DOUBLE) AS y FROM embeddings)
+SELECT row_id, (CASE WHEN label = 0 THEN 1 ELSE label END)::INTEGER AS label, round(x / (CASE WHEN x + y = 0 THEN 1 ELSE x + y END), 6) AS first, round(y / (CASE WHEN x + y = 0 THEN 1 ELSE x + y END), 6) AS second, 1.0::DOUBLE AS sample_weight FROM a""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanset.functions import vectors as V
 from gleanset.functions.hashing import hash_int, hash_order
 from gleanset.operators import budget, coreset, distance, encode, noise, quality, sample, scoring, select, stats, trees
+from gleanset.sources import results
 from gleanset.sources.points import embeddings, lineitem_points
 
 C = 10  # classes of the embeddings table
@@ -466,6 +467,14 @@ def job_matrix(s, d):
     return ds_.join(me).join(rates).where((F.col("dataset") != "ASIA") | (F.col("rate") == 0.0))
 
 
+def training_overlay(s, d):
+    """Rows to train on: rows of class 0 are relabelled, soft targets are the first two features' sizes."""
+    e = embeddings(s, d)
+    fix = e.select("row_id", F.when(F.col("label") == 0, 1).alias("label"), F.array(*[F.abs(F.col("features")[i]) for i in (0, 1)]).alias("soft"))
+    out = results.training_rows(e, labels=fix, soft=fix)
+    return out.select("row_id", "label", r6(F.col("soft")[0], "first"), r6(F.col("soft")[1], "second"), "sample_weight")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -478,6 +487,6 @@ QUERIES = {
         deem_blend_labels, deem_history_labels, dirty_detection, label_candidates, soft_label_ema, label_decision, feature_core_concentration, mixed_and_clean_weights,
         nearest_center_map, coreset_weights, coreset_error, deem_topk_cosine, herding_per_class, goodcore_greedy, weighted_coverage, gradmatch_omp,
         random_trial_coreset, incremental_blocks, rep_replacement, farthest_first, coreset_slice, leaf_homogeneity, coretab_groups, coretab_thinned,
-        coretab_datamap, pipeline_misdetect_coretab, quality_coreset, experiment_pivot, experiment_transpose, job_matrix,
+        coretab_datamap, pipeline_misdetect_coretab, quality_coreset, experiment_pivot, experiment_transpose, job_matrix, training_overlay,
     )
 }

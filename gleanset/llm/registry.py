@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, licenses, pii, secrets, substring_dedup, toxicity, whitening
+from . import bpe, decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, licenses, pii, secrets, substring_dedup, toxicity, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.query,
@@ -19,8 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_bpe": bpe.query,
     "op10_toxicity": toxicity.query,
+    "op11_url_filter": url_filter.query,
     "op12_whitening": whitening.query,
     "op13_fill_middle": fill_middle.query,
 }
 
-SQL: dict[str, str] = {"op5_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL, "op13_fill_middle": fill_middle.SQL}
+SQL: dict[str, str] = {"op5_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL, "op11_url_filter": url_filter.SQL, "op13_fill_middle": fill_middle.SQL}

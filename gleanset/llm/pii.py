@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             reach = m.end()
         at = text.find("@", max(at + 1, reach))
     if DIGITS.search(text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or "0") <= 255 for part in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 d = m[0].replace(" ", "").replace("-", "")

@@ -38,6 +38,12 @@ def test_base_spans_against_the_patterns():
         t = "".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 14)))
         assert pii.base_spans(t) == brute(t), repr(t)
     assert pii.base_spans("1" * 300_000 + "@") == []
+    for place in range(4):  # more digits than a string of an int may have
+        for fill, valid in (("0", True), ("1", False)):
+            p = ["1"] * 4
+            p[place] = fill * 5000 + "1"
+            assert pii.base_spans(".".join(p)) == ([(0, 1, 5007)] if valid else [])
+    assert pii.base_spans("0" * 5000 + ".0.00.000") == [(0, 1, 5009)]
 
 
 def test_terms_that_reveal_are_marked_and_removed(spark, docs_of):

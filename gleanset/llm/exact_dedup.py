@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, exists, load, remove, shared_dir, text_of
+from ._spark import Scratch, exists, load, names, quoted, remove, shared_dir, text_of, touch, unused
 
 #: Buckets of a new index: one for each so many bytes of digests that it is to hold, at these limits.
 BUCKET_BYTES = 256 << 20
@@ -32,30 +33,55 @@ def buckets_for(rows: int) -> int:
 class DigestIndex:
     """A persistent table (digest, keep_id, batch), partitioned by batch, bucketed and sorted by digest, at ``path``.
 
-    Another session opens the same index by the same path; its number of buckets is found there, ``buckets`` is that of a
-    new one. A batch is written under its number: writing it again replaces it.
+    Another session opens the same index by the same path and finds its number of buckets there; ``buckets`` is that of a
+    new one. A batch is written under its number: writing it again replaces it. There is one writer at a time.
+
+    The table lies in a folder of its own below ``path``, a generation. An empty file ``ready-<generation>-<buckets>`` beside it
+    publishes it; the newest published generation is the index. A rebuild writes the next generation whole and
+    publishes it by that one file, so a rebuild that is lost half-way leaves the index as it was.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = LEAST_BUCKETS):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/gleanset/digests-{uuid.uuid4().hex[:12]}"
-        self.table = f"gleanset_digests_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}"
-        note = f"{self.path}-buckets"
-        if not exists(spark, note):
-            spark.range(1).selectExpr(f"{buckets} AS buckets").coalesce(1).write.mode("overwrite").parquet(note)
-        self.buckets = spark.read.parquet(note).first()["buckets"]
-        self._open()
-
-    def _open(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")  # external: the files stay
+        self.generation, self.buckets, self.table = 0, buckets, ""
+        if not self._published():
+            self._publish(1, buckets)
+        self._follow()
+
+    def _published(self) -> list[tuple[int, int]]:
+        """(generation, buckets) of what is published, the newest last."""
+        found = [re.fullmatch(r"ready-(\d+)-(\d+)", name) for name in names(self.spark, self.path)]
+        return sorted((int(m[1]), int(m[2])) for m in found if m)
+
+    def _publish(self, generation: int, buckets: int) -> None:
+        touch(self.spark, f"{self.path}/ready-{generation:06d}-{buckets}")
+
+    def _place(self, generation: int) -> str:
+        return f"{self.path}/generation-{generation:06d}"
+
+    def _named(self, generation: int, buckets: int) -> str:
+        """A table over the files of a generation."""
+        place = self._place(generation)
+        table = f"gleanset_digests_{hashlib.sha256(place.encode()).hexdigest()[:16]}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: the files stay
         self.spark.sql(
-            f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT, batch BIGINT) USING parquet PARTITIONED BY (batch) "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            f"CREATE TABLE {table} (digest STRING, keep_id BIGINT, batch BIGINT) USING parquet PARTITIONED BY (batch) "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{place}'"
         )
-        if exists(self.spark, self.path):
-            self.spark.sql(f"MSCK REPAIR TABLE {self.table}")  # finds the batches of earlier sessions
+        if exists(self.spark, place):
+            self.spark.sql(f"MSCK REPAIR TABLE {table}")  # finds the batches of earlier sessions
+        return table
+
+    def _follow(self) -> None:
+        """Use the newest generation, whoever published it."""
+        generation, buckets = self._published()[-1]
+        if generation != self.generation:
+            self.generation, self.buckets = generation, buckets
+            self.table = self._named(generation, buckets)
 
     def rows(self) -> DataFrame:
+        self._follow()
         return self.spark.table(self.table)
 
     def before(self, batch: int | None) -> DataFrame:
@@ -68,27 +94,40 @@ class DigestIndex:
 
     def append(self, groups: DataFrame, batch: int = 0) -> None:
         """Write a batch; a batch of that number is replaced."""
+        self._follow()
+        self._write(groups.select("digest", "keep_id", F.lit(batch).cast("long").alias("batch")), self.table, self.buckets)
+
+    def _write(self, rows: DataFrame, table: str, buckets: int) -> None:
         mode = "spark.sql.sources.partitionOverwriteMode"
         before = self.spark.conf.get(mode)
         self.spark.conf.set(mode, "dynamic")
         try:
-            rows = groups.select("digest", "keep_id", F.lit(batch).cast("long").alias("batch"))
-            rows.repartition(self.buckets, "digest").write.insertInto(self.table, overwrite=True)
+            rows.repartition(buckets, "digest").write.insertInto(table, overwrite=True)
         finally:
             self.spark.conf.set(mode, before)
-        self.spark.catalog.refreshTable(self.table)
+        self.spark.catalog.refreshTable(table)
 
     def rebuild(self, buckets: int | None = None) -> None:
-        """Write all batches anew as batch -1, in one sorted file a bucket, and with another number of buckets if given."""
-        new = DigestIndex(self.spark, f"{self.path}-{uuid.uuid4().hex[:8]}", buckets or self.buckets)
-        new.append(self.rows(), -1)
-        self.drop()
-        self.path, self.buckets, self.table = new.path, new.buckets, new.table
+        """Write all batches anew, each under its number in one sorted file a bucket, and with another number of buckets if given.
+
+        The index stays at its path. Queries that still read the old files fail and can be made anew.
+        """
+        rows, buckets = self.rows(), buckets or self.buckets
+        new = self.generation + 1
+        remove(self.spark, self._place(new))  # of a rebuild that was lost half-way
+        self._write(rows, self._named(new, buckets), buckets)
+        self._publish(new, buckets)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self._follow()
+        for generation, count in self._published()[:-1]:
+            remove(self.spark, f"{self.path}/ready-{generation:06d}-{count}")
+        for name in names(self.spark, self.path):
+            if name.startswith("generation-") and name != self._place(new).rpartition("/")[2]:
+                remove(self.spark, f"{self.path}/{name}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         remove(self.spark, self.path)
-        remove(self.spark, f"{self.path}-buckets")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,10 +178,11 @@ def deduplicated(docs: DataFrame, index: DigestIndex, batch: int = 0, id_col: st
     """The rows of ``docs``, all columns, of which one stays for each text that is new to the index: the one of the largest
     doc_id, and of rows that repeat id and text one. A null text is the empty text. Rows are told apart by id and text, never by the id alone."""
     digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    summary = summarised(digests(docs, id_col, text_col), index, batch).where("NOT seen_before").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    rows = docs.withColumn("__digest", digest).join(summary.hint("merge"), "__digest")
-    rows = rows.where(F.col(id_col).cast("long").eqNullSafe(F.col("__keep")))
-    return rows.dropDuplicates(["__digest"]).select(*docs.columns)
+    key, keep = unused(docs, "digest", "keep")
+    summary = summarised(digests(docs, id_col, text_col), index, batch).where("NOT seen_before").select(F.col("digest").alias(key), F.col("keep_id").alias(keep))
+    rows = docs.withColumn(key, digest).join(summary.hint("merge"), key)
+    rows = rows.where(F.col(quoted(id_col)).cast("long").eqNullSafe(F.col(keep)))
+    return rows.dropDuplicates([key]).select(*map(quoted, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

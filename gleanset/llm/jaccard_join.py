@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import KeyFilter, Scratch, load, text_of
+from ._spark import KeyFilter, Scratch, load, quoted, text_of, unused
 from ._text import NON_SPACE, U, Words, batches, mix, utf8
 from .components import components
 
@@ -627,9 +627,10 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     join = Join(docs, shingle, percent, id_col, text_col)
     profile, named = join.solve()
     gone = profile.where("n > 0").join(named.hint("merge"), ["f1", "f2", "n"]).where("row <> keeper").select("row").distinct()
-    gone = join.work.keep(gone.withColumnRenamed("row", "__row"), "gone")
+    row = unused(docs, "row")[0]
+    gone = join.work.keep(gone.withColumnRenamed("row", row), "gone")
     join.work.drop("profile", "components")
-    return docs.withColumn("__row", row_key(id_col, text_col)).join(gone, "__row", "left_anti").drop("__row")
+    return docs.withColumn(row, row_key(id_col, text_col)).join(gone, row, "left_anti").select(*map(quoted, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

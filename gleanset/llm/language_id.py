@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import load, text_of
+from ._spark import load, quoted, text_of
 from ._text import batches
 
 DIMENSIONS = 1024
@@ -141,8 +141,8 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, train_per_lang
     return langs, p
 
 
-def identify(df: DataFrame, langs: list[str], profiles: np.ndarray, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with the columns ``__lang`` and ``__cosine``: the language of the largest cosine, cut to 0..1.
+def identify(df: DataFrame, langs: list[str], profiles: np.ndarray, text_col: str = "text", keep_text: bool = True, out: tuple[str, str] = ("__lang", "__cosine")) -> DataFrame:
+    """``df`` with two more columns, named by ``out``: the language of the largest cosine, and that cosine, cut to 0..1.
 
     Ties go to the first language by name. Defined cases: null, empty and letterless texts are ``und``
     with 0, as is everything where nothing was learned; repeated rows are scored each; other columns pass
@@ -161,10 +161,10 @@ def identify(df: DataFrame, langs: list[str], profiles: np.ndarray, text_col: st
             else:
                 score, pred = np.zeros(len(has)), [UNKNOWN] * len(has)
             names = [c for c in b.schema.names if keep_text or c != text_col]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(pred, pa.string()), pa.array(score)], [*names, "__lang", "__cosine"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(pred, pa.string()), pa.array(score)], [*names, *out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != text_col)
-    return df.mapInArrow(run, f"{schema}, __lang string, __cosine double")
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != text_col)
+    return df.mapInArrow(run, f"{schema}, {quoted(out[0])} string, {quoted(out[1])} double")
 
 
 def learn(docs: DataFrame, dimensions: int = DIMENSIONS, train_per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], np.ndarray]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from gleanset.llm._spark import names
 from gleanset.llm.decontaminate import contamination
 from gleanset.llm.exact_dedup import DigestIndex, exact_dedup
 
@@ -22,12 +23,35 @@ def test_exact_dedup_and_persistent_index(spark, docs_of):
     assert repeated == more and again.rows().count() == 5  # a batch that is run again
     again.rebuild(8)
     assert again.rows().count() == 5 and again.buckets == DigestIndex(spark, again.path).buckets == 8
+    assert again.path == index.path and index.rows().count() == 5 and index.buckets == 8  # an open index follows
     assert exact_dedup(docs_of([]), again, 2).count() == 0
     plan = again.unseen(docs_of(rows).selectExpr("text AS digest", "doc_id AS keep_id"))._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan
     again.drop()
 
 
+def test_index_after_a_rebuild(spark, docs_of):
+    """Another session finds the index by its path, and batches keep their numbers."""
+    index = DigestIndex(spark, buckets=4)
+    exact_dedup(docs_of([(1, "a"), (2, "b")]), index, 0)
+    first = sorted(exact_dedup(docs_of([(3, "b"), (4, "c"), (5, "d")]), index, 1).collect())
+    index.rebuild(2)
+    by_path = DigestIndex(spark, index.path)
+    assert by_path.buckets == 2 and {(r.keep_id, r.batch) for r in by_path.rows().collect()} == {(1, 0), (2, 0), (4, 1), (5, 1)}
+    assert sorted(exact_dedup(docs_of([(3, "b"), (4, "c"), (5, "d")]), by_path, 1).collect()) == first
+    # A rebuild that was lost before it published its files, and one that was lost before it removed the old ones.
+    broken = DigestIndex(spark, index.path)
+    spark.range(1).selectExpr("'x' AS digest").write.parquet(broken._place(broken.generation + 1) + "/batch=7")
+    assert DigestIndex(spark, index.path).rows().count() == 4
+    index.rebuild()
+    spark.range(1).selectExpr("'x' AS digest").write.parquet(index._place(1) + "/batch=7")
+    assert DigestIndex(spark, index.path).rows().count() == 4
+    index.rebuild()
+    assert names(spark, index.path) == [f"generation-{index.generation:06d}", f"ready-{index.generation:06d}-2"]
+    index.drop()
+    assert names(spark, index.path) == []
+
+
 def brute(rows, items, window):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     wins = {}

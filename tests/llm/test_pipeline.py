@@ -88,6 +88,22 @@ def test_near_stage_against_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in cp.unalike(spark, docs, "").collect()} == {i for i, t in top.items() if i == t} | {500}
 
+
+def test_clashing_columns_pass_unchanged(spark, tmp_path):
+    rnd = random.Random(4)
+    text = lambda n=50: " ".join(rnd.choice(WORDS["en"].split()) + str(rnd.randrange(500)) for _ in range(n))
+    names = ["__keep", "__digest", "__row", "__lang", "__cosine", "keep", "Digest", "_digest", "row", "keeper", "found_lang", "cosine", "a b", "n"]
+    rows = [(k, text(), "en", *[f"{c}{k}" for c in names]) for k in range(6)]
+    rows += [(10, rows[0][1], "en", *["x"] * len(names)), (11, " ".join([*rows[1][1].split()[:-1], "end"]), "en", *["y"] * len(names))]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in names)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, text(12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in cp.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", *names]
+    assert sorted(map(tuple, docs.collect())) == sorted([*rows[1:6], rows[6]])
+
+
 def test_rows_without_or_with_repeated_ids(spark, tmp_path):
     """Stages go by rows: an id that comes with several texts, or none, neither saves nor loses a row."""
     rnd = random.Random(3)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanset.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id
-from gleanset.llm._spark import Scratch, load
+from gleanset.llm._spark import Scratch, load, quoted, unused
 
 #: Near duplicates of the pipeline; op3's contract (4 words, 85 %) binds that query only.
 SHINGLE, PERCENT = 5, 80
@@ -21,7 +21,9 @@ SHINGLE, PERCENT = 5, 80
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of some learned language: those without letters, or like no language at all, go."""
     langs, profiles = language_id.learn(docs)
-    return language_id.identify(docs, langs, profiles).where(f"__lang <> '{language_id.UNKNOWN}' AND __cosine > 0").select(*docs.columns)
+    lang, cosine = unused(docs, "found_lang", "cosine")
+    found = language_id.identify(docs, langs, profiles, out=(lang, cosine))
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(cosine) > 0)).select(*map(quoted, docs.columns))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Nearest-representative joins and the weights that follow from them.
 
-Representatives are a coreset. They go to the workers in blocks of at most ``MOST_VALUES`` numbers (rows times
-width), however many there are; each block is one Arrow pass in which every row keeps its best so far. Distances are
-sums of squared differences (norm expansion cancels), and ties go to the smallest id.
+Distances are sums of squared differences (norm expansion cancels), and ties go to the smallest id. A coreset of at most
+``MOST_VALUES`` numbers is sent to the workers; a larger one, and every pool of neighbours, is joined by pivots
+(``neighbours``), without passing through the driver.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanset.functions import vectors as V
+from gleanset.operators import neighbours
+from gleanset.operators.scratch import checkpointed
 
-#: Numbers in one block of representatives.
+#: Numbers (rows times width) of representatives that may be sent to workers.
 MOST_VALUES = 1 << 20
 #: Rows that are compared with a block at a time.
 ROWS = 256
@@ -37,43 +39,33 @@ def sq_dists(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([((x - c) ** 2).sum(1) for c in y], 1) if len(y) else np.zeros((len(x), 0))
 
 
-def blocks(rows: DataFrame, extra: list[str]) -> Iterator[tuple]:
-    """(ids, matrix, extra columns) of rows in id order, block by block."""
-    buffer: list = []
-    for r in rows.select("row_id", "features", *extra).orderBy("row_id").toLocalIterator():
-        buffer.append(r)
-        if len(buffer) * max(1, len(r["features"])) >= MOST_VALUES:
-            yield np.array([x["row_id"] for x in buffer]), np.array([x["features"] for x in buffer], float), [[x[c] for x in buffer] for c in extra]
-            buffer = []
-    if buffer:
-        yield np.array([x["row_id"] for x in buffer]), np.array([x["features"] for x in buffer], float), [[x[c] for x in buffer] for c in extra]
-
-
 def nearest(points: DataFrame, reps: DataFrame) -> DataFrame:
-    """``points`` with rep_id and d2 of the nearest row of ``reps`` (row_id, features); null without any."""
-    out = points.withColumns({"rep_id": F.lit(None).cast("bigint"), "d2": F.lit(None).cast("double")})
-
-    def step(ids: np.ndarray, y: np.ndarray):
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in parts:
-                x = matrix(b.column("features"))
-                best = np.array([np.inf if v is None else v for v in b.column("d2").to_pylist()], float)
-                rep = np.array([-1 if v is None else v for v in b.column("rep_id").to_pylist()], np.int64)
-                for a in range(0, len(x), ROWS):
-                    d = sq_dists(x[a : a + ROWS], y)
-                    k = d.argmin(1)
-                    m = d[np.arange(len(k)), k]
-                    # Later blocks have larger ids: only a smaller distance wins.
-                    won = m < best[a : a + ROWS]
-                    best[a : a + ROWS][won], rep[a : a + ROWS][won] = m[won], ids[k[won]]
-                names = b.schema.names
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()) if c == "rep_id" else pa.array(best) if c == "d2" else b.column(c) for c in names], names)
-
-        return run
-
-    for ids, y, _ in blocks(reps, []):
-        out = out.mapInArrow(step(ids, y), kinds(out))
-    return out
+    """``points`` with rep_id and d2 of the nearest row of ``reps`` (row_id, features); null without any.
+
+    Up to ``MOST_VALUES`` numbers of representatives go to the workers as they are, and rows stay where they are; more of them
+    are joined by pivots, with the same result.
+    """
+    size = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
+    if size["n"] * max(1, size["d"] or 0) > MOST_VALUES:
+        found = neighbours.knn(points, reps.select("row_id", "features", F.lit(0).alias("label")), 1, False, checkpointed)
+        one = F.element_at("neighbours", 1)
+        return points.join(found.select("row_id", one["row_id"].alias("rep_id"), one["d2"].alias("d2")), "row_id", "left")
+    got = reps.select("row_id", "features").orderBy("row_id").collect()
+    ids, y = np.array([r["row_id"] for r in got], np.int64), np.array([r["features"] for r in got], float)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            x = matrix(b.column("features"))
+            rep, best = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for a in range(0, len(x), ROWS):
+                d = sq_dists(x[a : a + ROWS], y)
+                k = d.argmin(1)
+                rep[a : a + ROWS], best[a : a + ROWS] = ids[k], d[np.arange(len(k)), k]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rep), pa.array(best)], [*b.schema.names, "rep_id", "d2"])
+
+    if not got:
+        return points.withColumns({"rep_id": F.lit(None).cast("bigint"), "d2": F.lit(None).cast("double")})
+    return points.mapInArrow(run, f"{kinds(points)}, rep_id bigint, d2 double")
 
 
 def representative_weights(mapped: DataFrame, reps: DataFrame, weight: str | None = None, floor: float | None = None) -> DataFrame:
@@ -101,24 +93,5 @@ def coreset_error(points: DataFrame, gradient: str, coreset: DataFrame, weight:
 
 def nearest_k(points: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """``points`` with ``neighbours``: the k nearest rows of the pool as (d2, row_id, label), itself left out."""
-    kind = "array<struct<d2:double,row_id:bigint,label:int>>"
-    out = points.withColumn("neighbours", F.expr(f"cast(array() AS {kind})"))
-
-    def step(ids: np.ndarray, y: np.ndarray, labels: list[int]):
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in parts:
-                x, own, found = matrix(b.column("features")), b.column("row_id").to_pylist(), b.column("neighbours").to_pylist()
-                for a in range(0, len(x), ROWS):
-                    d = sq_dists(x[a : a + ROWS], y)
-                    for i, row in enumerate(d, a):
-                        near = np.argsort(row, kind="stable")[: k + 1].tolist()
-                        new = [{"d2": float(row[j]), "row_id": int(ids[j]), "label": labels[j]} for j in near if ids[j] != own[i]]
-                        found[i] = sorted([*found[i], *new], key=lambda n: (n["d2"], n["row_id"]))[:k]
-                names = b.schema.names
-                yield pa.RecordBatch.from_arrays([pa.array(found, b.schema.field("neighbours").type) if c == "neighbours" else b.column(c) for c in names], names)
-
-        return run
-
-    for ids, y, (labels,) in blocks(pool, ["label"]):
-        out = out.mapInArrow(step(ids, y, labels), kinds(out))
-    return out
+    found = neighbours.knn(points, pool, k, True, checkpointed)
+    return points.join(found, "row_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.expr(f"cast(array() AS {neighbours.NEIGHBOURS})")))

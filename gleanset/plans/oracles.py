@@ -71,7 +71,7 @@ co AS (SELECT row_id, arg_max(pr.c, {{'p': p, 'c': -pr.c}}) AS confident FROM pr
 REPS = f"reps AS (SELECT row_id, f FROM e QUALIFY row_number() OVER (ORDER BY {order('row_id', 'reps')}, row_id) <= 40)"
 NEAR = f"WITH {E}, {REPS}, nn AS (SELECT e.row_id, arg_min(r.row_id, {{'d': {sqd('e.f', 'r.f')}, 'c': r.row_id}}) AS rep_id, min({sqd('e.f', 'r.f')}) AS d2 FROM e, reps r GROUP BY e.row_id)"
 CURVES = """cv AS (SELECT user_id AS row_id, user_id % 3 AS label, epoch, value AS loss FROM
-  (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch FROM events) WHERE epoch < 20)"""
+  (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch FROM events))"""
 MA = f"""{CURVES}, tr AS (SELECT *, avg(loss) OVER (PARTITION BY row_id ORDER BY epoch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS t, least(5, count(*) OVER (PARTITION BY row_id)) AS w FROM cv),
 ma AS (SELECT row_id, label, epoch, CASE WHEN epoch < w - 1 THEN max(CASE WHEN epoch = w - 1 THEN t END) OVER (PARTITION BY row_id) ELSE t END AS ma FROM tr)"""
 ALLOC_10 = "SELECT label, count(*) AS n FROM embeddings GROUP BY label"
@@ -252,10 +252,10 @@ SELECT pd.row_id, y AS predicted, round(min(abs(z - top) / w), 6) AS margin FROM
     "confident_joint": f"{CONF} SELECT e.label, confident, count(*) AS n FROM e JOIN co USING (row_id) GROUP BY ALL",
     "label_issues": f"{CONF}, tp AS (SELECT row_id, max(p) AS top, max(p) FILTER (WHERE c = label) AS own FROM pr GROUP BY row_id) SELECT row_id, e.label, confident, round(top - own, 6) AS margin FROM e JOIN co USING (row_id) JOIN tp USING (row_id) WHERE confident <> e.label",
     "misdetect_rounds": misdetect(),
-    "knn_label_disagreement": f"""WITH {E}, nk AS (SELECT a.row_id, a.label, b.label AS other, row_number() OVER (PARTITION BY a.row_id ORDER BY {sqd('a.f', 'b.f')}, b.row_id) AS r FROM e a, e b WHERE a.row_id % 5 = 0 AND a.row_id <> b.row_id)
+    "knn_label_disagreement": f"""WITH {E}, nk AS (SELECT a.row_id, a.label, b.label AS other, row_number() OVER (PARTITION BY a.row_id ORDER BY {sqd('a.f', 'b.f')}, b.row_id) AS r FROM e a, e b WHERE a.row_id <> b.row_id)
 SELECT row_id, round(1 - sum((label = other)::INT) / 7, 6) AS disagreement FROM nk WHERE r <= 7 GROUP BY row_id""",
     "loss_moving_average": f"WITH {MA} SELECT row_id, epoch, round(ma, 6) AS ma FROM ma",
-    "ctrl_flags": f"""WITH {MA}, ar AS (SELECT row_id, label, CASE WHEN epoch < 6 THEN 0 WHEN epoch < 13 THEN 1 ELSE 2 END AS w, sum(ma) AS a FROM ma GROUP BY ALL),
+    "ctrl_flags": f"""WITH {MA}, ar AS (SELECT row_id, label, CASE WHEN epoch < n_epochs // 3 THEN 0 WHEN epoch < 2 * n_epochs // 3 THEN 1 ELSE 2 END AS w, sum(ma) AS a FROM ma, (SELECT max(epoch) + 1 AS n_epochs FROM cv) GROUP BY ALL),
 x AS (SELECT *, count(*) OVER o AS n, sum(a) OVER o AS s, count(*) OVER (PARTITION BY label, w) AS nn, sum(a) OVER (PARTITION BY label, w) AS ss FROM ar WINDOW o AS (PARTITION BY label, w ORDER BY a, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 y AS (SELECT *, round(CASE WHEN n < nn THEN s * s / n + (ss - s) * (ss - s) / (nn - n) END, 9) AS b FROM x), z AS (SELECT label, w, arg_max(n, {{'b': b, 'n': -n}}) AS cut FROM y WHERE b IS NOT NULL GROUP BY ALL),
 v AS (SELECT row_id, y.label, sum((NOT coalesce(n > cut, FALSE))::INT) AS clean_votes FROM y LEFT JOIN z ON y.label = z.label AND y.w = z.w GROUP BY ALL)

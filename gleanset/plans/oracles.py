@@ -57,6 +57,22 @@ cu AS (SELECT row_id, greatest(l, 1e-8) AS cur FROM dc WHERE c = label),
 ca AS (SELECT dc.* FROM dc JOIN cu USING (row_id), th WHERE c <> label AND l <= 6.0 * typical AND l <= (1 - 0.2) * cur)"""
 
 
+def kd_map(reps: int, leaf: int) -> str:
+    """Levels of median splits over ``reps`` representatives; rows follow the cuts."""
+    out = f"WITH {E}, r0 AS (SELECT row_id, f, 1 AS node FROM e QUALIFY row_number() OVER (ORDER BY {order('row_id', 'kd')}, row_id) <= {reps}), q0 AS (SELECT row_id, f, 1 AS node FROM e)"
+    level, size = 0, reps
+    while size > leaf:
+        k, level, size = level, level + 1, size - size // 2
+        out += f""", v{k} AS (SELECT node, i, var_pop(v) AS var, count(*) AS n FROM (SELECT node, generate_subscripts(f, 1) AS i, unnest(f) AS v FROM r{k}) GROUP BY ALL),
+s{k} AS (SELECT node, arg_max(i, {{'v': var, 'i': -i}}) AS dim, max(n) AS n FROM v{k} GROUP BY node HAVING max(n) > {leaf} AND max(var) > 1e-12),
+o{k} AS (SELECT r.*, dim, n, row_number() OVER (PARTITION BY r.node ORDER BY f[dim], row_id) AS p FROM r{k} r LEFT JOIN s{k} s ON r.node = s.node),
+c{k} AS (SELECT node, dim, max(f[dim]) FILTER (WHERE p = n // 2 + 1) AS cut FROM o{k} WHERE dim IS NOT NULL GROUP BY ALL),
+r{level} AS (SELECT row_id, f, CASE WHEN dim IS NULL THEN node ELSE 2 * node + (p > n // 2)::INT END AS node FROM o{k}),
+q{level} AS (SELECT row_id, f, CASE WHEN dim IS NULL THEN q.node ELSE 2 * q.node + (f[dim] > cut)::INT END AS node FROM q{k} q LEFT JOIN c{k} c ON q.node = c.node)"""
+    d = sqd("q.f", "r.f")
+    return out + f" SELECT q.row_id, arg_min(r.row_id, {{'d': {d}, 'c': r.row_id}}) AS rep_id, round(min({d}), 6) AS d2 FROM q{level} q JOIN r{level} r ON q.node = r.node GROUP BY q.row_id"
+
+
 def stratified(salt: int) -> str:
     n, r = "count(*) OVER (PARTITION BY label)", f"row_number() OVER (PARTITION BY label ORDER BY {order('vec_id', str(salt))}, vec_id)"
     return f"SELECT vec_id AS row_id, label, CASE WHEN {r} <= CASE WHEN {n} > 1 THEN greatest(1, least({n} - 1, floor({n} * 0.8))) ELSE {n} END THEN 'train' ELSE 'test' END AS split FROM embeddings"
@@ -287,6 +303,7 @@ SELECT y.row_id, round(max(t), 6) AS amplitude, CASE WHEN max(k) IS NOT NULL THE
 x AS (SELECT ls.row_id, ls.mean_loss, ls.std_loss, di.row_id IS NOT NULL AS dirty, (ls.row_id % 10) / 10.0::DOUBLE AS w FROM ls LEFT JOIN di USING (row_id))
 SELECT row_id, round(CASE WHEN dirty AND row_id % 2 = 0 THEN CASE WHEN w * 0.5 < 0.1 THEN 0 ELSE w * 0.5 END WHEN NOT dirty AND mean_loss <= m AND std_loss <= s AND w > 0 THEN least(1.0, w + 0.05) ELSE w END, 6) AS new_weight FROM x, md""",
     "nearest_center_map": f"{NEAR} SELECT row_id, rep_id, round(d2, 6) AS d2 FROM nn",
+    "kd_map": kd_map(400, 64),
     "coreset_weights": f"{NEAR} SELECT r.row_id AS rep_id, count(nn.row_id)::DOUBLE AS sample_weight FROM reps r LEFT JOIN nn ON nn.rep_id = r.row_id GROUP BY r.row_id",
     "coreset_error": f"""{NEAR}, {P}, w AS (SELECT rep_id AS row_id, count(*) AS w FROM nn GROUP BY rep_id), x AS (SELECT i, sum(v) AS a, sum(v * w) AS b FROM p LEFT JOIN w USING (row_id) GROUP BY i)
 SELECT round(sqrt(sum((a - b) * (a - b))) / (sqrt(sum(a * a)) + 1e-12), 6) AS gradient_error, 0.0::DOUBLE AS weight_error FROM x""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanset.functions import vectors as V
 from gleanset.functions.hashing import hash_int, hash_order
-from gleanset.operators import budget, coreset, distance, encode, noise, quality, sample, scoring, select, stats, trees
+from gleanset.operators import budget, coreset, distance, encode, kdtree, noise, quality, sample, scoring, select, stats, trees
 from gleanset.sources import results
 from gleanset.sources.points import embeddings, lineitem_points
 
@@ -350,6 +350,12 @@ def nearest_center_map(s, d):
     return distance.nearest(embeddings(s, d), _reps(s, d)).select("row_id", "rep_id", r6(F.col("d2"), "d2"))
 
 
+def kd_map(s, d):
+    """The nearest of 400 representatives by one descent of a k-d tree."""
+    e = embeddings(s, d)
+    return kdtree.kd_nearest(e, sample.exact_sample(e, "row_id", 400, "kd")).select("row_id", "rep_id", r6(F.col("d2"), "d2"))
+
+
 def coreset_weights(s, d):
     r = _reps(s, d)
     return distance.representative_weights(distance.nearest(embeddings(s, d), r), r)
@@ -485,7 +491,7 @@ QUERIES = {
         centroid_scores, confusion_macro_f1, snapshot_loss_stats, class_loss_mean, residual_gradient, input_gradient, deepfool_margin,
         confident_thresholds, confident_joint, label_issues, misdetect_rounds, knn_label_disagreement, loss_moving_average, ctrl_flags, early_stop_fold,
         deem_blend_labels, deem_history_labels, dirty_detection, label_candidates, soft_label_ema, label_decision, feature_core_concentration, mixed_and_clean_weights,
-        nearest_center_map, coreset_weights, coreset_error, deem_topk_cosine, herding_per_class, goodcore_greedy, weighted_coverage, gradmatch_omp,
+        nearest_center_map, kd_map, coreset_weights, coreset_error, deem_topk_cosine, herding_per_class, goodcore_greedy, weighted_coverage, gradmatch_omp,
         random_trial_coreset, incremental_blocks, rep_replacement, farthest_first, coreset_slice, leaf_homogeneity, coretab_groups, coretab_thinned,
         coretab_datamap, pipeline_misdetect_coretab, quality_coreset, experiment_pivot, experiment_transpose, job_matrix, training_overlay,
     )

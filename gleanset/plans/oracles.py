@@ -73,6 +73,26 @@ q{level} AS (SELECT row_id, f, CASE WHEN dim IS NULL THEN q.node ELSE 2 * q.node
     return out + f" SELECT q.row_id, arg_min(r.row_id, {{'d': {d}, 'c': r.row_id}}) AS rep_id, round(min({d}), 6) AS d2 FROM q{level} q JOIN r{level} r ON q.node = r.node GROUP BY q.row_id"
 
 
+def boosted(rounds: int, depth: int, bins: int, rate: float, ridge: float = 1.0, least: float = 1.0) -> str:
+    """Newton boosting of two classes over bins of equal width, level by level."""
+    out = f"""WITH {E}, {P}, st AS (SELECT i, min(v) AS lo, max(v) AS hi FROM p GROUP BY i),
+b AS (SELECT row_id, i, len(list_filter(range(1, {bins}), lambda j: v > lo + (hi - lo) * j / {bins}.0::DOUBLE)) AS bin FROM p JOIN st USING (i)),
+f0 AS (SELECT row_id, (label >= 5)::INT AS y, 0.0::DOUBLE AS m FROM e)"""
+    for t in range(rounds):
+        out += f", g{t} AS (SELECT row_id, 1 / (1 + exp(-m)) - y AS g, 1 / (1 + exp(-m)) * (1 - 1 / (1 + exp(-m))) AS h FROM f{t}), n{t}_0 AS (SELECT row_id, 1 AS node FROM f{t})"
+        for k in range(depth):
+            x = f"{t}_{k}"
+            gain = f"lg * lg / (lh + {ridge}) + (tg - lg) * (tg - lg) / (th - lh + {ridge}) - tg * tg / (th + {ridge})"
+            out += f""", h{x} AS (SELECT node, i, bin, sum(g) AS g, sum(h) AS h FROM n{x} JOIN g{t} USING (row_id) JOIN b USING (row_id) WHERE node >= {2**k} GROUP BY ALL),
+c{x} AS (SELECT node, i, bin, sum(g) OVER o AS lg, sum(h) OVER o AS lh, sum(g) OVER (PARTITION BY node, i) AS tg, sum(h) OVER (PARTITION BY node, i) AS th FROM h{x} WINDOW o AS (PARTITION BY node, i ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s{x} AS (SELECT node, arg_max({{'i': i, 'bin': bin}}, {{'gain': round({gain}, 6), 'i': -i, 'bin': -bin}}) AS cut FROM c{x} WHERE lh >= {least} AND th - lh >= {least} AND {gain} > 1e-9 GROUP BY node),
+n{t}_{k + 1} AS (SELECT n.row_id, CASE WHEN cut IS NULL THEN n.node ELSE 2 * n.node + (b.bin > cut.bin)::INT END AS node FROM n{x} n LEFT JOIN s{x} s ON n.node = s.node LEFT JOIN b ON b.row_id = n.row_id AND b.i = cut.i)"""
+        out += f""", v{t} AS (SELECT node, -sum(g) / (sum(h) + {ridge}) AS v FROM n{t}_{depth} JOIN g{t} USING (row_id) GROUP BY node),
+f{t + 1} AS (SELECT row_id, y, m + {rate} * v AS m FROM f{t} JOIN n{t}_{depth} USING (row_id) JOIN v{t} USING (node))"""
+    names = ("first", "second", "third")[:rounds]
+    return out + f" SELECT row_id, {', '.join(f'n{t}_{depth}.node AS {a}' for t, a in enumerate(names))} FROM n0_{depth} {' '.join(f'JOIN n{t}_{depth} USING (row_id)' for t in range(1, rounds))}"
+
+
 def stratified(salt: int) -> str:
     n, r = "count(*) OVER (PARTITION BY label)", f"row_number() OVER (PARTITION BY label ORDER BY {order('vec_id', str(salt))}, vec_id)"
     return f"SELECT vec_id AS row_id, label, CASE WHEN {r} <= CASE WHEN {n} > 1 THEN greatest(1, least({n} - 1, floor({n} * 0.8))) ELSE {n} END THEN 'train' ELSE 'test' END AS split FROM embeddings"
@@ -303,6 +323,7 @@ SELECT y.row_id, round(max(t), 6) AS amplitude, CASE WHEN max(k) IS NOT NULL THE
 x AS (SELECT ls.row_id, ls.mean_loss, ls.std_loss, di.row_id IS NOT NULL AS dirty, (ls.row_id % 10) / 10.0::DOUBLE AS w FROM ls LEFT JOIN di USING (row_id))
 SELECT row_id, round(CASE WHEN dirty AND row_id % 2 = 0 THEN CASE WHEN w * 0.5 < 0.1 THEN 0 ELSE w * 0.5 END WHEN NOT dirty AND mean_loss <= m AND std_loss <= s AND w > 0 THEN least(1.0, w + 0.05) ELSE w END, 6) AS new_weight FROM x, md""",
     "nearest_center_map": f"{NEAR} SELECT row_id, rep_id, round(d2, 6) AS d2 FROM nn",
+    "boosted_leaves": boosted(2, 2, 16, 0.3),
     "kd_map": kd_map(400, 64),
     "coreset_weights": f"{NEAR} SELECT r.row_id AS rep_id, count(nn.row_id)::DOUBLE AS sample_weight FROM reps r LEFT JOIN nn ON nn.rep_id = r.row_id GROUP BY r.row_id",
     "coreset_error": f"""{NEAR}, {P}, w AS (SELECT rep_id AS row_id, count(*) AS w FROM nn GROUP BY rep_id), x AS (SELECT i, sum(v) AS a, sum(v * w) AS b FROM p LEFT JOIN w USING (row_id) GROUP BY i)

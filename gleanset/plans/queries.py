@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanset.functions import vectors as V
 from gleanset.functions.hashing import hash_int, hash_order
-from gleanset.operators import budget, coreset, distance, encode, kdtree, noise, quality, sample, scoring, select, stats, trees
+from gleanset.operators import boost, budget, coreset, distance, encode, kdtree, noise, quality, sample, scoring, select, stats, trees
 from gleanset.sources import results
 from gleanset.sources.points import embeddings, lineitem_points
 
@@ -438,6 +438,13 @@ def coretab_thinned(s, d):
     return trees.thinned(_sign_leaves(s, d), 8, 0.03, 10).select("row_id", "label")
 
 
+def boosted_leaves(s, d):
+    """Leaves of two rounds of depth 2 that tell classes 5 to 9 from the others."""
+    e = embeddings(s, d).withColumn("label", (F.col("label") >= 5).cast("int"))
+    model = boost.fit(e, 2, n_rounds=2, depth=2, rate=0.3, bins=16, spaced="width")
+    return boost.with_leaves(e, model).select("row_id", F.col("leaves")[0].alias("first"), F.col("leaves")[1].alias("second"))
+
+
 def coretab_datamap(s, d):
     return trees.datamap_coreset(embeddings(s, d), C, 0.1, 10, 3).select("row_id", "label", "sample_weight")
 
@@ -493,6 +500,6 @@ QUERIES = {
         deem_blend_labels, deem_history_labels, dirty_detection, label_candidates, soft_label_ema, label_decision, feature_core_concentration, mixed_and_clean_weights,
         nearest_center_map, kd_map, coreset_weights, coreset_error, deem_topk_cosine, herding_per_class, goodcore_greedy, weighted_coverage, gradmatch_omp,
         random_trial_coreset, incremental_blocks, rep_replacement, farthest_first, coreset_slice, leaf_homogeneity, coretab_groups, coretab_thinned,
-        coretab_datamap, pipeline_misdetect_coretab, quality_coreset, experiment_pivot, experiment_transpose, job_matrix, training_overlay,
+        boosted_leaves, coretab_datamap, pipeline_misdetect_coretab, quality_coreset, experiment_pivot, experiment_transpose, job_matrix, training_overlay,
     )
 }

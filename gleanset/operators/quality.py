@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanset.functions import vectors as V
-from gleanset.operators import scoring, stats
+from gleanset.operators import kmeans, scoring, stats
 from gleanset.operators.distance import nearest_k
+from gleanset.operators.scratch import checkpointed
 
 
 # Confident learning (our definition, from the published method).
@@ -159,8 +160,35 @@ def ctrl_flags(curves: DataFrame, epochs: int, windows: int = 1, threshold: floa
     which = F.coalesce(*[F.when((F.col("epoch") >= a) & (F.col("epoch") < b), k) for k, (a, b) in enumerate(edges)])
     areas = ma.withColumn("window", which).groupBy("row_id", "label", "window").agg(F.sum("ma").alias("area"))
     votes = split_in_two(areas, ["label", "window"], "area").groupBy("row_id", "label").agg(F.sum((~F.col("high")).cast("int")).alias("clean_votes"))
-    need = max(1, min(int(-(-threshold // 1)) if threshold <= 1 else int(threshold), len(edges)))
-    return votes.withColumn("noisy", F.col("clean_votes") < need)
+    return votes.withColumn("noisy", F.col("clean_votes") < votes_needed(threshold, len(edges)))
+
+
+def ctrl_clusters(curves: DataFrame, epochs: int, windows: int = 1, threshold: float = 1.0, smooth: int = 5, clusters: int = 2, noisy_clusters: int = 1, restarts: int = 10, iterations: int = 100) -> DataFrame:
+    """(row_id, label, clean_votes, noisy) as ``ctrl_flags``, from k-means over the smoothed curves themselves.
+
+    In each class and window of epochs the ``noisy_clusters`` clusters of the largest mean area give no clean vote. Epochs that a
+    curve lacks count 0 in its window; a curve without any epoch there has no vote of it; a class of one row is clean.
+    """
+    edges = epoch_windows(epochs, windows)
+    ma = moving_average(curves, "row_id", "epoch", "loss", smooth)
+    of = lambda values: F.coalesce(*[F.when((F.col("epoch") >= a) & (F.col("epoch") < b), v) for v, (a, b) in zip(values, edges, strict=True)])
+    each = ma.withColumns({"window": of(range(len(edges))), "a": of([a for a, _ in edges])})
+    width = max((b - a for a, b in edges), default=0)
+    known = each.groupBy("row_id", "label", "window").agg(F.map_from_entries(F.collect_list(F.struct((F.col("epoch") - F.col("a")).cast("int").alias("at"), "ma"))).alias("m"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))
+    rows = checkpointed(known.select("row_id", "label", "window", (F.col("label").cast("long") * len(edges) + F.col("window")).alias("group"), v.alias("v")))
+    found = kmeans.clustered(rows, max(2, clusters), restarts, iterations).select("row_id", "label", "window", "group", "cluster", V.vsum(F.col("v")).alias("area"))
+    mean = found.groupBy("group", "cluster").agg(F.round(F.avg("area"), 9).alias("area"), F.count(F.lit(1)).alias("n"))
+    of_group = Window.partitionBy("group")  # as many rows as clusters
+    rank = F.row_number().over(of_group.orderBy(F.desc("area"), "cluster"))
+    bad = mean.select("group", "cluster", ((rank <= noisy_clusters) & (F.sum("n").over(of_group) > 1)).alias("bad"))
+    votes = found.join(F.broadcast(bad), ["group", "cluster"]).groupBy("row_id", "label").agg(F.sum((~F.col("bad")).cast("int")).alias("clean_votes"))
+    return votes.withColumn("noisy", F.col("clean_votes") < votes_needed(threshold, len(edges)))
+
+
+def votes_needed(threshold: float, windows: int) -> int:
+    """A threshold of at most 1 is rounded up, a larger one down; at least one vote, at most all windows."""
+    return max(1, min(int(-(-threshold // 1)) if threshold <= 1 else int(threshold), windows))
 
 
 # Soft labels.

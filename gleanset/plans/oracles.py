@@ -93,6 +93,21 @@ f{t + 1} AS (SELECT row_id, y, m + {rate} * v AS m FROM f{t} JOIN n{t}_{depth} U
     return out + f" SELECT row_id, {', '.join(f'n{t}_{depth}.node AS {a}' for t, a in enumerate(names))} FROM n0_{depth} {' '.join(f'JOIN n{t}_{depth} USING (row_id)' for t in range(1, rounds))}"
 
 
+def curve_clusters(windows: int, k: int, noisy: int, need: int, rounds: int) -> str:
+    """Lloyd's rounds over smoothed curves by class and window of epochs; missing epochs of a window count 0."""
+    out = f"""WITH {MA}, ne AS (SELECT max(epoch) + 1 AS n FROM cv), ed AS (SELECT w, w * n // {windows} AS a, (w + 1) * n // {windows} AS b FROM ne, (SELECT unnest(range({windows})) AS w)),
+rw AS (SELECT DISTINCT row_id, label, w, a, b FROM ma JOIN ed ON epoch >= a AND epoch < b),
+d AS (SELECT rw.row_id, rw.label, w, x.epoch, coalesce(ma, 0.0) AS v FROM (SELECT *, unnest(range(a, b)) AS epoch FROM rw) x JOIN rw USING (row_id, label, w) LEFT JOIN ma ON ma.row_id = x.row_id AND ma.epoch = x.epoch),
+c0 AS (SELECT label, w, j, epoch, v AS c FROM (SELECT row_id, label, w, row_number() OVER (PARTITION BY label, w ORDER BY {order('row_id', 'kmeans0')}, row_id) AS j FROM rw) JOIN d USING (row_id, label, w) WHERE j <= {k})"""
+    for r in range(rounds + 1):
+        out += f""", a{r} AS (SELECT row_id, label, w, arg_min(j, {{'d': round(far, 9), 'j': j}}) AS j FROM (SELECT row_id, d.label, d.w, j, sum((v - c) * (v - c)) AS far FROM d JOIN c{r} c ON d.label = c.label AND d.w = c.w AND d.epoch = c.epoch GROUP BY ALL) GROUP BY ALL)"""
+        if r < rounds:
+            out += f""", c{r + 1} AS (SELECT c.label, c.w, c.j, c.epoch, coalesce(m, c) AS c FROM c{r} c LEFT JOIN (SELECT label, w, j, epoch, avg(v) AS m FROM d JOIN a{r} USING (row_id, label, w) GROUP BY ALL) s ON s.label = c.label AND s.w = c.w AND s.j = c.j AND s.epoch = c.epoch)"""
+    return out + f""", ar AS (SELECT row_id, label, w, j, sum(v) AS area FROM d JOIN a{rounds} USING (row_id, label, w) GROUP BY ALL), me AS (SELECT label, w, j, round(avg(area), 9) AS area, count(*) AS n FROM ar GROUP BY ALL),
+bad AS (SELECT label, w, j, row_number() OVER (PARTITION BY label, w ORDER BY area DESC, j) <= {noisy} AND sum(n) OVER (PARTITION BY label, w) > 1 AS bad FROM me),
+v AS (SELECT row_id, label, sum((NOT bad)::INT) AS clean_votes FROM ar JOIN bad USING (label, w, j) GROUP BY ALL) SELECT row_id, label, clean_votes, clean_votes < {need} AS noisy FROM v"""
+
+
 def stratified(salt: int) -> str:
     n, r = "count(*) OVER (PARTITION BY label)", f"row_number() OVER (PARTITION BY label ORDER BY {order('vec_id', str(salt))}, vec_id)"
     return f"SELECT vec_id AS row_id, label, CASE WHEN {r} <= CASE WHEN {n} > 1 THEN greatest(1, least({n} - 1, floor({n} * 0.8))) ELSE {n} END THEN 'train' ELSE 'test' END AS split FROM embeddings"
@@ -296,6 +311,7 @@ x AS (SELECT *, count(*) OVER o AS n, sum(a) OVER o AS s, count(*) OVER (PARTITI
 y AS (SELECT *, round(CASE WHEN n < nn THEN s * s / n + (ss - s) * (ss - s) / (nn - n) END, 9) AS b FROM x), z AS (SELECT label, w, arg_max(n, {{'b': b, 'n': -n}}) AS cut FROM y WHERE b IS NOT NULL GROUP BY ALL),
 v AS (SELECT row_id, y.label, sum((NOT coalesce(n > cut, FALSE))::INT) AS clean_votes FROM y LEFT JOIN z ON y.label = z.label AND y.w = z.w GROUP BY ALL)
 SELECT row_id, label, clean_votes, clean_votes < 2 AS noisy FROM v""",
+    "ctrl_clusters": curve_clusters(2, 3, 2, 2, 6),
     "early_stop_fold": f"""WITH RECURSIVE {CURVES}, r AS (SELECT row_id, 0 AS n, 'inf'::DOUBLE AS best, 0 AS bad, 0 AS stop FROM (SELECT DISTINCT row_id FROM cv)
 UNION ALL SELECT r.row_id, r.n + 1, CASE WHEN r.stop = 0 AND loss < best - 0.01 THEN loss ELSE best END,
   CASE WHEN r.stop <> 0 THEN bad WHEN loss < best - 0.01 THEN 0 ELSE bad + 1 END,

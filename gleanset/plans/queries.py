@@ -276,6 +276,13 @@ def ctrl_flags(s, d):
     return quality.ctrl_flags(curves, epochs, 3, 2.0).select("row_id", "label", "clean_votes", "noisy")
 
 
+def ctrl_clusters(s, d):
+    """Three clusters of curves in each class and half of the epochs, of which the two of the largest areas are noisy."""
+    curves = _curves(s, d)
+    epochs = (curves.agg(F.max("epoch")).first()[0] or 0) + 1
+    return quality.ctrl_clusters(curves, epochs, 2, 2.0, clusters=3, noisy_clusters=2, restarts=1, iterations=6).select("row_id", "label", "clean_votes", "noisy")
+
+
 def early_stop_fold(s, d):
     return stats.early_stop(_curves(s, d), "row_id", "epoch", "loss", 4, 0.01)
 
@@ -496,7 +503,7 @@ QUERIES = {
         stratified_split, kfold_assign, exact_sample, trial_subsets, overlap_check, anti_remaining, clean_dirty_pairs,
         noise_types, random_noise, shift_noise, noise_validation, class_allocation, classwise_topk, bounded_candidates, weighted_top_fraction,
         centroid_scores, confusion_macro_f1, snapshot_loss_stats, class_loss_mean, residual_gradient, input_gradient, deepfool_margin,
-        confident_thresholds, confident_joint, label_issues, misdetect_rounds, knn_label_disagreement, loss_moving_average, ctrl_flags, early_stop_fold,
+        confident_thresholds, confident_joint, label_issues, misdetect_rounds, knn_label_disagreement, loss_moving_average, ctrl_flags, ctrl_clusters, early_stop_fold,
         deem_blend_labels, deem_history_labels, dirty_detection, label_candidates, soft_label_ema, label_decision, feature_core_concentration, mixed_and_clean_weights,
         nearest_center_map, kd_map, coreset_weights, coreset_error, deem_topk_cosine, herding_per_class, goodcore_greedy, weighted_coverage, gradmatch_omp,
         random_trial_coreset, incremental_blocks, rep_replacement, farthest_first, coreset_slice, leaf_homogeneity, coretab_groups, coretab_thinned,

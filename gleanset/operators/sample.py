@@ -6,10 +6,11 @@ rows), and ranks inside a prefix come from a window over that prefix alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanset.functions.hashing import hash_order
+from gleanset.operators import stats
 
 
 def global_rank(df: DataFrame, row_id: str, salt: int | str, out: str = "rank") -> DataFrame:
@@ -26,22 +27,26 @@ def exact_sample(df: DataFrame, row_id: str, n: int, salt: int | str) -> DataFra
     return global_rank(df, row_id, salt, "__rank").where(F.col("__rank") <= n).drop("__rank")
 
 
-def class_rank(df: DataFrame, label: str, row_id: str, salt: int | str) -> Column:
-    return F.row_number().over(Window.partitionBy(label).orderBy(hash_order(row_id, salt), row_id))
+def class_ranked(df: DataFrame, label: str, row_id: str, salt: int | str) -> DataFrame:
+    """Adds __place in hash order within the label, and __n, the label's rows."""
+    sizes = stats.group_sizes(df, label).select(F.col(label).alias("__label"), F.col("n").alias("__n"))
+    ranked = stats.ranked(df, label, hash_order(row_id, salt), F.asc(row_id), name="__place")
+    return ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("__label"))).drop("__label")  # as many rows as labels
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, salt: int | str = 42, train: float = 0.8) -> DataFrame:
     """Adds ``split``: of each label floor(train * n) rows, 1 to n - 1 of them if it has more than one."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
+    n = F.col("__n")
     k = F.when(n > 1, F.greatest(F.lit(1), F.least(n - 1, F.floor(n * train)))).otherwise(n)
-    return df.withColumn("split", F.when(class_rank(df, label, row_id, salt) <= k, "train").otherwise("test"))
+    return class_ranked(df, label, row_id, salt).select(*df.columns, F.when(F.col("__place") <= k, "train").otherwise("test").alias("split"))
 
 
 def kfold(df: DataFrame, label: str, row_id: str, folds: int, salt: int | str = 42) -> DataFrame:
     """Adds ``fold``: stratified, as many folds as the smallest class allows, 2 at least."""
-    least = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
+    least = stats.group_sizes(df, label).agg(F.min("n")).first()[0] or 0
     k = min(max(2, folds), max(2, least))
-    return df.withColumn("fold", ((class_rank(df, label, row_id, salt) - 1) % k).cast("int"))
+    ranked = stats.ranked(df, label, hash_order(row_id, salt), F.asc(row_id), name="__place")
+    return ranked.select(*df.columns, ((F.col("__place") - 1) % k).cast("int").alias("fold"))
 
 
 def trial_subsets(df: DataFrame, row_id: str, trials: int, k: int, salt: int | str = 0) -> DataFrame:

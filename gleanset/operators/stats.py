@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanset.functions import vectors as V
+from gleanset.operators.scratch import checkpointed
 from gleanset.sources.points import dimensions
 
 
+#: Rows of one group that are sorted in one task.
+ONE_TASK = 200_000
+
+
 def width(points: DataFrame) -> int:
     return dimensions(points)
 
@@ -65,8 +70,30 @@ def weighted_epoch_loss(df: DataFrame, epoch: str, loss: str, weight: str) -> Da
     return df.groupBy(epoch).agg((F.sum(F.col(loss) * F.col(weight)) / F.greatest(F.sum(weight), F.lit(1e-12))).alias("mean_loss"))
 
 
-def ranked(df: DataFrame, by: str, *order, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+def group_sizes(df: DataFrame, by: str) -> DataFrame:
+    """(by, n): a row for each group."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked(df: DataFrame, by: str, *order, name: str = "rank", largest: int | None = None) -> DataFrame:
+    """Adds each row's place in its group, from 1. The order has to tell rows apart.
+
+    Groups of at most ``ONE_TASK`` rows (``largest`` is counted if it isn't given) are sorted in a task each. Beyond, rows are dealt
+    into ranges of (group, order), a range's rows are ranked, and the counts of the ranges before are added; the table of
+    counts has a row for each range and group in it.
+    """
+    if largest is None:
+        largest = group_sizes(df, by).agg(F.max("n")).first()[0] or 0
+    if largest <= ONE_TASK:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(ranges, by, *order).withColumn("__range", F.spark_partition_id()))
+    earlier = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("__range", by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    before = before.select(F.col("__range").alias("__of"), F.col(by).alias("__by"), "__before")
+    inside = dealt.withColumn("__in", F.row_number().over(Window.partitionBy("__range", by).orderBy(*order)))
+    same = (F.col("__range") == F.col("__of")) & F.col(by).eqNullSafe(F.col("__by"))
+    return inside.join(F.broadcast(before), same).select(*df.columns, (F.col("__in") + F.col("__before")).cast("int").alias(name))
 
 
 def deduped(df: DataFrame, row_id: str, weight: str, position: str) -> DataFrame:

@@ -412,7 +412,7 @@ def rep_replacement(s, d):
 
 def farthest_first(s, d):
     k = budget.allocation(stats.class_counts(embeddings(s, d)), C, 0.06)
-    return select.per_class(embeddings(s, d), lambda x, m, _: (select.farthest_first(x, m), None), k).select("label", "pick", "row_id")
+    return select.farthest(embeddings(s, d), k).select("label", "pick", "row_id")
 
 
 def coreset_slice(s, d):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gleanset.functions.hashing import hash_order
 from gleanset.operators.distance import kinds, matrix
+from gleanset.operators.scratch import gathered
 
 Centres = dict[int, np.ndarray]
 #: Squared distances are compared to so many digits, so that sums in another order give the same clusters.
@@ -75,16 +76,16 @@ def clustered(rows: DataFrame, k: int, restarts: int = 10, iterations: int = 100
 
     Rounds end when no centre of any restart moves, or after ``iterations``.
     """
-    tries = [starts(rows, k, f"{salt}{t}") for t in range(restarts)]
+    tries, passes = [starts(rows, k, f"{salt}{t}") for t in range(restarts)], gathered(rows)
     for _ in range(iterations):
-        new, _ = _round(rows, tries)
+        new, _ = _round(passes, tries)
         still = all(np.array_equal(a[g], b[g]) for a, b in zip(tries, new, strict=True) for g in a)
         tries = new
         if still:
             break
     best = tries[0]
     if restarts > 1:
-        _, inertia = _round(rows, tries)
+        _, inertia = _round(passes, tries)
         best = {g: tries[min(range(restarts), key=lambda t: (round(inertia[t][g], DIGITS), t))][g] for g in best}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,3 +18,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="gleanset-"))
     return df.checkpoint()
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """The table in at most four partitions a core, without a shuffle, for passes that are made again and again."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)

@@ -117,3 +117,22 @@ def early_stop(df: DataFrame, key: str, order: str, loss: str, patience: int, mi
         return F.struct(F.when(on & better, x).otherwise(s["best"]).alias("best"), F.when(on, bad).otherwise(s["bad"]).alias("bad"), n.alias("n"), F.when(on & (bad >= patience), n).otherwise(s["stop"]).alias("stop"))
 
     return seq.select(key, F.aggregate("l", state, fold).alias("s")).select(key, F.col("s.best").alias("best_loss"), F.col("s.stop").alias("stopped_at"))
+
+
+def recent_drop_stop(df: DataFrame, key: str, order: str, loss: str, window: int = 3, ratio: float = 1e-3) -> DataFrame:
+    """(key, best_loss, steps, stopped): a descent ends where its last ``window`` drops are all at most ``ratio`` of the first loss.
+
+    A key's losses are one array, folded in order; that all of the last drops are small is a count of small drops in a row.
+    steps is the number of losses until the end (all of them if it isn't stopped), best_loss the least among these.
+    """
+    seq = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, loss))), lambda s: s[loss]).alias("l"))
+    first = F.element_at("l", 1)
+    state = F.struct(first.alias("last"), first.alias("best"), F.lit(0).alias("small"), F.lit(0).alias("n"))
+
+    def fold(s, x):
+        on = s["small"] < window
+        small = F.when(s["n"] == 0, 0).when(s["last"] - x <= ratio * F.greatest(first, F.lit(1e-12)), s["small"] + 1).otherwise(0)
+        return F.struct(x.alias("last"), F.when(on, F.least(s["best"], x)).otherwise(s["best"]).alias("best"), F.when(on, small).otherwise(s["small"]).alias("small"), F.when(on, s["n"] + 1).otherwise(s["n"]).alias("n"))
+
+    out = seq.select(key, F.aggregate("l", state, fold).alias("s"))
+    return out.select(key, F.col("s.best").alias("best_loss"), F.col("s.n").alias("steps"), (F.col("s.small") >= window).alias("stopped"))

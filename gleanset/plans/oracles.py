@@ -318,6 +318,10 @@ UNION ALL SELECT r.row_id, r.n + 1, CASE WHEN r.stop = 0 AND loss < best - 0.01
   CASE WHEN r.stop = 0 AND (CASE WHEN loss < best - 0.01 THEN 0 ELSE bad + 1 END) >= 4 THEN r.n + 1 ELSE r.stop END
   FROM r JOIN cv ON cv.row_id = r.row_id AND cv.epoch = r.n)
 SELECT row_id, best AS best_loss, stop AS stopped_at FROM r QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC) = 1""",
+    "recent_drop_stop": f"""WITH {MA}, f AS (SELECT row_id, epoch, ma, first_value(ma) OVER o AS ma0, lag(ma) OVER o - ma AS fall, count(*) OVER (PARTITION BY row_id) AS n FROM ma WINDOW o AS (PARTITION BY row_id ORDER BY epoch)),
+g AS (SELECT *, epoch >= 3 AND max(fall - 0.02 * greatest(ma0, 1e-12)) OVER (PARTITION BY row_id ORDER BY epoch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) <= 0 AS tiny FROM f),
+h AS (SELECT row_id, min(epoch) FILTER (WHERE tiny) AS stop, max(n) AS n FROM g GROUP BY row_id)
+SELECT row_id, round(min(ma), 6) AS best_loss, coalesce(max(stop) + 1, max(h.n))::INTEGER AS steps, max(stop) IS NOT NULL AS stopped FROM h JOIN ma USING (row_id) WHERE epoch <= coalesce(stop, epoch) GROUP BY row_id""",
     "deem_blend_labels": f"""{LOSS}, mm AS (SELECT min(loss) AS lo_, max(loss) AS hi_ FROM lo), a AS (SELECT row_id, greatest(0, least(0.8, 0.8 * (loss - lo_) / greatest(hi_ - lo_, 1e-12))) AS alpha FROM lo, mm),
 x AS (SELECT row_id, label, c, alpha, (1 - alpha) * (c = label)::INT + alpha * p AS q FROM pr JOIN a USING (row_id))
 SELECT row_id, round(max(alpha), 6) AS alpha, round(max(q) FILTER (WHERE c = label) / sum(q), 6) AS own, round(max(q) / sum(q), 6) AS top FROM x GROUP BY row_id""",

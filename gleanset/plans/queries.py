@@ -287,6 +287,12 @@ def early_stop_fold(s, d):
     return stats.early_stop(_curves(s, d), "row_id", "epoch", "loss", 4, 0.01)
 
 
+def recent_drop_stop(s, d):
+    """Where the smoothed losses of a user have hardly fallen three times in a row."""
+    ma = quality.moving_average(_curves(s, d), "row_id", "epoch", "loss", 5)
+    return stats.recent_drop_stop(ma, "row_id", "epoch", "ma", 3, 0.02).select("row_id", r6(F.col("best_loss"), "best_loss"), "steps", "stopped")
+
+
 def deem_blend_labels(s, d):
     x = quality.blended_soft_labels(_losses(s, d), C)
     return x.select("row_id", r6(F.col("alpha"), "alpha"), r6(V.at(F.col("soft_label"), F.col("label")), "own"), r6(F.array_max("soft_label"), "top"))
@@ -503,7 +509,7 @@ QUERIES = {
         stratified_split, kfold_assign, exact_sample, trial_subsets, overlap_check, anti_remaining, clean_dirty_pairs,
         noise_types, random_noise, shift_noise, noise_validation, class_allocation, classwise_topk, bounded_candidates, weighted_top_fraction,
         centroid_scores, confusion_macro_f1, snapshot_loss_stats, class_loss_mean, residual_gradient, input_gradient, deepfool_margin,
-        confident_thresholds, confident_joint, label_issues, misdetect_rounds, knn_label_disagreement, loss_moving_average, ctrl_flags, ctrl_clusters, early_stop_fold,
+        confident_thresholds, confident_joint, label_issues, misdetect_rounds, knn_label_disagreement, loss_moving_average, ctrl_flags, ctrl_clusters, early_stop_fold, recent_drop_stop,
         deem_blend_labels, deem_history_labels, dirty_detection, label_candidates, soft_label_ema, label_decision, feature_core_concentration, mixed_and_clean_weights,
         nearest_center_map, kd_map, coreset_weights, coreset_error, deem_topk_cosine, herding_per_class, goodcore_greedy, weighted_coverage, gradmatch_omp,
         random_trial_coreset, incremental_blocks, rep_replacement, farthest_first, coreset_slice, leaf_homogeneity, coretab_groups, coretab_thinned,

@@ -130,3 +130,14 @@ def test_pure_groups(spark):
     assert sorted(map(tuple, trees.pure_groups(df, 2).collect())) == [(0, "1", 0, 2), (1, "2_2", 1, 2)]
     assert trees.leaf_scores(df, 1).where("row_id = 1").first().score == pytest.approx(0.25 * 0.5 + 2 * 0.5)
     assert isinstance(encode.standardise(spark.createDataFrame([(1, [2.0, 3.0], 0)], "row_id bigint, features array<double>, label int")).toPandas(), pd.DataFrame)
+
+
+def test_recent_drops(spark):
+    curves = {1: [10, 9, 8.99, 8.98, 8.97, 1], 2: [10, 9.99, 9.98, 8, 7.99, 7.98, 7.97, 0], 3: [5], 4: [3, 2, 1], 5: [2, 3, 4, 5, 1], 6: [0, 0, 0, 0]}
+    df = spark.createDataFrame([(k, e, float(v)) for k, c in curves.items() for e, v in enumerate(c)], "k long, e int, l double").repartition(3)
+    want = {}
+    for k, c in curves.items():
+        n = next((t + 1 for t in range(3, len(c)) if all(c[i - 1] - c[i] <= 0.01 * max(c[0], 1e-12) for i in range(t - 2, t + 1))), None)
+        want[k] = (min(c[: n or len(c)]), n or len(c), n is not None)
+    assert {r.k: (r.best_loss, r.steps, r.stopped) for r in stats.recent_drop_stop(df, "k", "e", "l", 3, 0.01).collect()} == want
+    assert {k for k, v in want.items() if v[2]} == {1, 2, 5, 6}

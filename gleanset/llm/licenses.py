@@ -6,16 +6,17 @@ The coverage of a template is the share of its words that are aligned.
 
 Where a document may hold a template is found by votes: each place of a telling template word (one that
 isn't a function word) votes for the place where the template would begin, and stretches with enough
-votes for the wanted coverage are aligned. So several notices in one document are found each. Of templates of
-``LONG`` words, all stretches are aligned that hold enough different telling words within the template's length
-and ``SPREAD`` words more, so that words put in between don't hide them. One pass
-over whole texts, without a shuffle; the templates are constants of the job.
+votes for the wanted coverage are aligned. So several notices in one document are found each. Templates whose words foreign
+ones part are found too: a text with enough different telling words is aligned from the first to the last of them, and copies
+after each other are told apart where a telling word comes once more than in the template. Templates under ``LONG`` words, which
+the words of any long text may make up by chance, may be parted by ``SPREAD`` foreign words for each of theirs. One pass over whole
+texts, without a shuffle; the templates are constants of the job.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +27,8 @@ from ._spark import load, text_of
 from ._text import WORDS, Words, batches, utf8
 
 COVERAGE = 0.8
-#: Templates of so many words are found also where foreign words part them, ``SPREAD`` at most in all.
-LONG, SPREAD = 20, 400
+#: Any number of foreign words may part templates of ``LONG`` words; ``SPREAD`` for each word those of shorter ones.
+LONG, SPREAD = 20, 8
 
 # License notices and texts as their publishers give them (placeholders left out).
 TEMPLATES = {
@@ -114,26 +115,31 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def stretches(at: np.ndarray, word: np.ndarray, template: Template, coverage: float) -> list[tuple[int, int]]:
-    """Stretches of a text (first and end word) that may hold a template of which up to ``SPREAD`` foreign words part the words.
+def spread(template: Template) -> float:
+    """How many foreign words may part those of a template: any number, and ``SPREAD`` for each word of a short one."""
+    n = len(template.words)
+    return np.inf if n >= LONG else SPREAD * n
 
-    ``at`` has the places of telling words, ``word`` the words there. A stretch has as many different ones as the coverage needs.
+
+def stretches(at: np.ndarray, word: np.ndarray, template: Template, need: int) -> list[tuple[int, int]]:
+    """Stretches of a text (first and end word) that may hold a template whose words foreign ones part.
+
+    ``at`` has the places of telling words, ``word`` the number of the word there. A stretch has ``need`` different ones.
     """
-    n, telling = len(template.words), np.unique(template.words[template.telling])
-    need = max(1, int(np.ceil(len(telling) - n * (1 - coverage))))
-    at, which = np.unique(at, return_index=True)
-    word = np.searchsorted(telling, word[which])
+    n = len(template.words)
     if len(np.unique(word)) < need:
         return []
-    count, different, j, out = np.zeros(len(telling), np.int64), 0, 0, []
+    if np.isinf(spread(template)):
+        return [(max(0, int(at[0]) - n), int(at[-1]) + n)]
+    count, different, j, out = np.zeros(int(word.max()) + 1, np.int64), 0, 0, []
     for i in range(len(at)):
-        while j < len(at) and at[j] < at[i] + n + SPREAD:
+        while j < len(at) and at[j] < at[i] + n + spread(template):
             different += count[word[j]] == 0
             count[word[j]] += 1
             j += 1
         if different >= need:
             # All that a template whose first telling word stands here may take.
-            a, b = int(max(0, at[i] - n)), int(at[i] + 2 * n + SPREAD)
+            a, b = int(max(0, at[i] - n)), int(at[i] + 2 * n + spread(template))
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], b)
             else:
@@ -143,6 +149,28 @@ def stretches(at: np.ndarray, word: np.ndarray, template: Template, coverage: fl
     return out
 
 
+def single_copies(at: np.ndarray, word: np.ndarray, template: Template, need: int, aligned: Callable[[int, int], object]) -> None:
+    """Align stretches that hold no telling word more often than the template does, so that copies after each other are
+    looked at one by one: a word too many begins a new stretch where the one before it was found, and else moves its begin. Function
+    words count up to the template's length before and after the telling ones."""
+    _, most = np.unique(template.words[template.telling], return_counts=True)
+    n, count, different, i = len(template.words), np.zeros(len(most), np.int64), 0, 0
+    for j in range(len(at) + 1):
+        w = word[j] if j < len(at) else -1
+        if w < 0 or count[w] == most[w]:
+            end = int(at[j]) if w >= 0 else int(at[-1]) + n
+            if different >= need and at[j - 1] - at[i] < n + spread(template) and aligned(max(0, int(at[i]) - n, int(at[i - 1]) + 1 if i else 0), min(end, int(at[j - 1]) + n)):
+                i, different = j, 0
+                count[:] = 0
+            while w >= 0 and count[w] == most[w]:
+                count[word[i]] -= 1
+                different -= count[word[i]] == 0
+                i += 1
+        if w >= 0:
+            different += count[w] == 0
+            count[w] += 1
+
+
 def find(text: np.ndarray, template: Template, coverage: float = COVERAGE) -> list[tuple[float, int, int]]:
     """(coverage, first word, end word) of every place of a template in a document's words; places don't overlap."""
     n, words = len(template.words), template.words
@@ -174,15 +202,22 @@ def find(text: np.ndarray, template: Template, coverage: float = COVERAGE) -> li
 
     for c in likely:
         aligned(max(0, (c - 1) * slack), min(len(text), (c + 2) * slack + n + slack))
-    if n >= LONG:
-        # Stretches that hold enough different telling words, however they are spread; what lies beside a find is searched again.
-        todo = stretches(at[votes], words[place[votes]], template, coverage)
-        while todo:
-            a, b = todo.pop()
-            if found := aligned(a, min(b, len(text))):
-                todo += [(x, y) for x, y in ((a, found[0]), (found[1], b)) if y - x >= coverage * n]
+    # Stretches that hold enough different telling words, however they are spread; what lies beside a find is searched again.
+    names = np.unique(words[template.telling])
+    spots, which = np.unique(at[votes], return_index=True)
+    numbers = np.searchsorted(names, words[place[votes]][which])
+    different = max(1, int(np.ceil(len(names) - n * (1 - coverage))))
+    todo = stretches(spots, numbers, template, different)
+    if todo:
+        single_copies(spots, numbers, template, different, aligned)
+    alone = set(out)
+    while todo:
+        a, b = todo.pop()
+        if found := aligned(a, min(b, len(text))):
+            todo += [(x, y) for x, y in ((a, found[0]), (found[1], b)) if y - x >= coverage * n]
+    # What was found alone goes first: a whole stretch may mix the words of several copies.
     best: list[tuple[float, int, int]] = []
-    for x in sorted(out, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+    for x in sorted(set(out), key=lambda x: (x not in alone, -x[0], x[2] - x[1], x[1])):
         if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
             best.append(x)
     return sorted(best, key=lambda x: x[1])

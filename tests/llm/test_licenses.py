@@ -74,3 +74,36 @@ def test_insertions_against_whole_alignment():
         assert licenses.find(hashed(" ".join(foreign(2000))), t) == []
         twice = hashed(" ".join([*whole, *foreign(50), *whole]))
         assert len(licenses.find(np.asarray(twice), t)) == 2
+
+
+def test_copies_that_foreign_words_part():
+    """0 to 3 copies of a template, 0 to 2,000 foreign words put into each: all are found, one by one."""
+    import pyarrow as pa
+
+    from gleanset.llm._text import WORDS, Words, utf8
+
+    rnd = random.Random(9)
+    hashed = lambda t: Words(*utf8(pa.array([t])), WORDS).hash
+    foreign = lambda k: [f"zz{rnd.randrange(10**6)}" for _ in range(k)]
+    for t in licenses.templates_of(TEMPLATES):
+        long = len(t.words) >= licenses.LONG
+        for copies in range(4):
+            for pieces, size in ((0, 0), (1, 60), (1, 450), (4, 25), (4, 500)):
+                if not long and pieces * size > licenses.SPREAD * len(t.words):
+                    continue
+                words, ends = foreign(30), []
+                for _ in range(copies):
+                    mine = TEMPLATES[t.name].split()
+                    for _ in range(pieces):
+                        at = rnd.randrange(1, len(mine))
+                        mine[at:at] = foreign(size)
+                    words += [*mine, *foreign(rnd.choice([0, 5, 200]))]
+                    ends.append(len(hashed(" ".join(words))))
+                got = licenses.find(hashed(" ".join(words)), t)
+                # Function words that are parted from the telling ones don't count.
+                assert len(got) == copies and all(c >= licenses.COVERAGE for c, _, _ in got), (t.name, copies, pieces, size, got)
+                assert pieces or all(c == 1.0 for c, _, _ in got)
+                assert all(x[2] <= e for x, e in zip(got, ends, strict=True))
+    notice = licenses.templates_of({"n": TEMPLATES["Apache-2.0-notice"]})[0]
+    words = TEMPLATES["Apache-2.0-notice"].split()
+    assert len(licenses.find(hashed(" ".join([*words[:4], *foreign(60), *words[4:]])), notice)) == 1

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from gleanset.operators import select
+from gleanset.operators import cover, select
 from gleanset.plans import queries
 
 CLASSES = 10
@@ -99,7 +99,7 @@ def test_coverage_beyond_one_task_takes_all_candidates(spark, monkeypatch):
     w = rng.integers(1, 10, 160) / 10
     points = spark.createDataFrame([(int(i) * 3, x.tolist(), float(v)) for i, x, v in zip(rng.permutation(160), g, w, strict=True)], "row_id bigint, g array<double>, w double").repartition(3, "row_id")
     for block, lazy in ((4096, 64), (50, 7)):
-        monkeypatch.setattr(select, "BLOCK", block)
-        monkeypatch.setattr(select, "LAZY", lazy)
+        monkeypatch.setattr(cover, "BLOCK", block)
+        monkeypatch.setattr(cover, "LAZY", lazy)
         want = sorted(map(tuple, select.weighted_coverage(points, "g", 25, "w").collect()))
         assert len(want) == 25 and sorted(map(tuple, select.weighted_coverage(points, "g", 25, "w", most=100).collect())) == want

@@ -45,6 +45,10 @@ class Centroid:
         by = {r["label"]: tuple(r["m"]) for r in rows}
         return cls(tuple(by.get(c) for c in range(n_classes)), tau)
 
+    @property
+    def classes(self) -> int:
+        return len(self.means)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         out = np.full((len(x), len(self.means)), -1e9)
         for c, m in enumerate(self.means):
@@ -60,6 +64,10 @@ class Centroid:
         d = len(next(m for m in self.means if m))
         return np.array([np.zeros(d) if m is None else np.array(m) for m in self.means]) * (2 / self.tau)
 
+    def input_gradient(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """d(cross-entropy with the target q) / dx = W^T (p - q)."""
+        return (self.probs(x) - q) @ self.weights()
+
 
 def with_arrays(points: DataFrame, out: dict[str, tuple[str, Callable]], features: str = "features") -> DataFrame:
     """Adds columns made by numpy from the feature matrix of each batch: name to (type, function of matrix and batch)."""
@@ -106,10 +114,16 @@ def last_layer_gradient(probs: Column, label: Column, n_classes: int, hidden: Co
     return F.concat(r, V.outer(r, hidden))
 
 
-def snapshot_losses(points: DataFrame, models: list, features: str = "features") -> DataFrame:
-    """Adds ``losses`` (by snapshot), ``mean_loss`` and the population deviation ``std_loss``, in one pass."""
+def snapshot_losses(points: DataFrame, models: list, features: str = "features", target: str | None = None) -> DataFrame:
+    """Adds ``losses`` (by snapshot), ``mean_loss`` and the population deviation ``std_loss``, in one pass.
+
+    ``target`` names a column of soft targets; without it, the label counts.
+    """
 
     def of(x, b):
+        if target:
+            q = matrix(b.column(target))
+            return np.stack([-(q * np.log(np.maximum(m.probs(x), 1e-12))).sum(1) for m in models], 1).tolist()
         y = np.array(b.column("label").to_pylist())
         return np.stack([-np.log(np.maximum(m.probs(x)[np.arange(len(y)), y], 1e-12)) for m in models], 1).tolist()
 
@@ -123,12 +137,12 @@ def class_losses(points: DataFrame, models: list) -> DataFrame:
     return with_arrays(points, {"class_losses": ("array<double>", of)})
 
 
-def input_gradients(points: DataFrame, models: list[Centroid]) -> DataFrame:
-    """Adds ``gradient``: the mean over snapshots of d(cross-entropy) / dx = W^T (p - q)."""
+def input_gradients(points: DataFrame, models: list, target: str | None = None) -> DataFrame:
+    """Adds ``gradient``: the mean over snapshots of d(cross-entropy) / dx, for the label or a column of soft targets."""
 
     def of(x, b):
-        q = np.eye(len(models[0].means))[np.array(b.column("label").to_pylist())]
-        return np.mean([(m.probs(x) - q) @ m.weights() for m in models], 0).tolist()
+        q = matrix(b.column(target)) if target else np.eye(models[0].classes)[np.array(b.column("label").to_pylist())]
+        return np.mean([m.input_gradient(x, q) for m in models], 0).tolist()
 
     return with_arrays(points, {"gradient": ("array<double>", of)})
 
@@ -167,58 +181,113 @@ def deepfool_margin(points: DataFrame, model: Centroid) -> DataFrame:
 
 
 class Mlp:
-    """A perceptron with ReLU layers and dropout, trained by AdamW on (soft) weighted cross-entropy, in numpy."""
+    """A perceptron with ReLU layers and dropout, trained by AdamW on (soft) weighted cross-entropy, in numpy.
+
+    With ``norm`` each hidden layer is normalised by its batch in training (a batch of one row: by the running values) and by the
+    running mean and variance in scoring.
+    """
 
-    def __init__(self, d: int, n_classes: int, hidden: tuple[int, ...] = (64, 32), dropout: float = 0.2, seed: int = 42):
+    def __init__(self, d: int, n_classes: int, hidden: tuple[int, ...] = (64, 32), dropout: float = 0.2, seed: int = 42, norm: bool = False):
         rng = np.random.default_rng(seed)
         sizes = [d, *hidden, n_classes]
         self.w = [rng.standard_normal((a, b)) * np.sqrt(2 / a) for a, b in zip(sizes, sizes[1:], strict=False)]
         self.b = [np.zeros(b) for b in sizes[1:]]
+        inner = hidden if norm else ()
+        self.scale, self.shift = [np.ones(b) for b in inner], [np.zeros(b) for b in inner]
+        self.mean, self.var = [np.zeros(b) for b in inner], [np.ones(b) for b in inner]
         self.dropout, self.rng, self.t = dropout, rng, 0
-        self.m = [np.zeros_like(p) for p in (*self.w, *self.b)]
-        self.v = [np.zeros_like(p) for p in (*self.w, *self.b)]
+        self.m = [np.zeros_like(p) for p in self.learned]
+        self.v = [np.zeros_like(p) for p in self.learned]
+
+    @property
+    def classes(self) -> int:
+        return len(self.b[-1])
+
+    @property
+    def learned(self) -> tuple[np.ndarray, ...]:
+        return (*self.w, *self.b, *self.scale, *self.shift)
+
+    @property
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """Parameters, both moments and running values."""
+        return (*self.learned, *self.m, *self.v, *self.mean, *self.var)
 
     def state(self) -> np.ndarray:
-        """Parameters and both moments as one vector."""
-        return np.concatenate([p.ravel() for p in (*self.w, *self.b, *self.m, *self.v)])
+        """All arrays as one vector."""
+        return np.concatenate([p.ravel() for p in self.arrays])
 
     def with_state(self, state: np.ndarray, t: int, seed) -> Mlp:
-        """A perceptron of the same shape with these parameters and moments, after t steps."""
+        """A perceptron of the same shape with these arrays, after t steps."""
         out = copy.deepcopy(self)
         at = 0
-        for p in (*out.w, *out.b, *out.m, *out.v):
+        for p in out.arrays:
             p[...] = state[at : at + p.size].reshape(p.shape)
             at += p.size
         out.t, out.rng = t, np.random.default_rng(seed)
         return out
 
+    def _slope(self, i: int) -> np.ndarray:
+        return self.scale[i] / np.sqrt(self.var[i] + 1e-5)
+
+    def layers(self, x: np.ndarray) -> list[np.ndarray]:
+        """The input and the values of each hidden layer, as in scoring."""
+        out = [np.asarray(x, float)]
+        for i, (w, b) in enumerate(zip(self.w[:-1], self.b[:-1], strict=True)):
+            z = out[-1] @ w + b
+            if self.scale:
+                z = (z - self.mean[i]) * self._slope(i) + self.shift[i]
+            out.append(np.maximum(z, 0))
+        return out
+
     def hidden(self, x: np.ndarray) -> np.ndarray:
-        for w, b in zip(self.w[:-1], self.b[:-1], strict=True):
-            x = np.maximum(x @ w + b, 0)
-        return x
+        return self.layers(x)[-1]
 
     def probs(self, x: np.ndarray) -> np.ndarray:
-        return softmax(self.hidden(np.asarray(x, float)) @ self.w[-1] + self.b[-1])
+        return softmax(self.hidden(x) @ self.w[-1] + self.b[-1])
+
+    def input_gradient(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """d(cross-entropy with the target q) / dx, as in scoring."""
+        acts = self.layers(x)
+        g = (softmax(acts[-1] @ self.w[-1] + self.b[-1]) - q) @ self.w[-1].T
+        for i in range(len(self.w) - 2, -1, -1):
+            g = g * (acts[i + 1] > 0)
+            g = (g * self._slope(i) if self.scale else g) @ self.w[i].T
+        return g
 
     def step(self, x: np.ndarray, q: np.ndarray, weight: np.ndarray, rate: float, decay: float) -> float:
         """One AdamW step on a batch; the weighted mean loss."""
-        acts, masks = [x], []
-        for w, b in zip(self.w[:-1], self.b[:-1], strict=True):
+        acts, masks, normed = [x], [], []
+        for i, (w, b) in enumerate(zip(self.w[:-1], self.b[:-1], strict=True)):
             mask = (self.rng.random((len(x), w.shape[1])) >= self.dropout) / max(1e-9, 1 - self.dropout)
             masks.append(mask)
-            acts.append(np.maximum(acts[-1] @ w + b, 0) * mask)
+            z = acts[-1] @ w + b
+            if self.scale:
+                mean, var = (z.mean(0), z.var(0)) if len(x) > 1 else (self.mean[i], self.var[i])
+                spread = np.sqrt(var + 1e-5)
+                normed.append(((z - mean) / spread, spread))
+                if len(x) > 1:
+                    self.mean[i] = 0.9 * self.mean[i] + 0.1 * mean
+                    self.var[i] = 0.9 * self.var[i] + 0.1 * var * len(x) / (len(x) - 1)
+                z = normed[-1][0] * self.scale[i] + self.shift[i]
+            acts.append(np.maximum(z, 0) * mask)
         z = acts[-1] @ self.w[-1] + self.b[-1]
         e = np.exp(z - z.max(1, keepdims=True))
         p = e / e.sum(1, keepdims=True)
         k = weight / max(1e-12, weight.sum())
-        g, gw, gb = (p - q) * k[:, None], [], []
+        g, gw, gb, gs, gc = (p - q) * k[:, None], [], [], [], []
         for i in range(len(self.w) - 1, -1, -1):
             gw.insert(0, acts[i].T @ g)
             gb.insert(0, g.sum(0))
             if i:
                 g = (g @ self.w[i].T) * (acts[i] > 0) * masks[i - 1]
+                if self.scale:
+                    u, spread = normed[i - 1]
+                    gs.insert(0, (g * u).sum(0))
+                    gc.insert(0, g.sum(0))
+                    g = g * self.scale[i - 1]
+                    g = (g - g.mean(0) - u * (g * u).mean(0) if len(x) > 1 else g) / spread
         self.t += 1
-        for i, (param, grad) in enumerate(zip((*self.w, *self.b), (*gw, *gb), strict=True)):
+        for i, (param, grad) in enumerate(zip(self.learned, (*gw, *gb, *gs, *gc), strict=True)):
             self.m[i] = 0.9 * self.m[i] + 0.1 * grad
             self.v[i] = 0.999 * self.v[i] + 0.001 * grad * grad
             param -= rate * (self.m[i] / (1 - 0.9**self.t) / (np.sqrt(self.v[i] / (1 - 0.999**self.t)) + 1e-8) + decay * param)

@@ -325,6 +325,15 @@ SELECT row_id, round(min(ma), 6) AS best_loss, coalesce(max(stop) + 1, max(h.n))
     "deem_blend_labels": f"""{LOSS}, mm AS (SELECT min(loss) AS lo_, max(loss) AS hi_ FROM lo), a AS (SELECT row_id, greatest(0, least(0.8, 0.8 * (loss - lo_) / greatest(hi_ - lo_, 1e-12))) AS alpha FROM lo, mm),
 x AS (SELECT row_id, label, c, alpha, (1 - alpha) * (c = label)::INT + alpha * p AS q FROM pr JOIN a USING (row_id))
 SELECT row_id, round(max(alpha), 6) AS alpha, round(max(q) FILTER (WHERE c = label) / sum(q), 6) AS own, round(max(q) / sum(q), 6) AS top FROM x GROUP BY row_id""",
+    # A first AdamW step from nothing moves each weight by the rate, against the sign of its gradient.
+    "parallel_epoch": f"""WITH {E}, n AS (SELECT greatest(1, (count(*) + 99) // 100) AS shards FROM e),
+  s AS (SELECT e.*, {hash32("row_id", "shard")} % shards AS shard FROM e, n), size AS (SELECT shard, count(*) AS rows FROM s GROUP BY ALL),
+  x AS (SELECT row_id, shard, label, generate_subscripts(f, 1) AS i, unnest(f) AS v FROM s UNION ALL SELECT row_id, shard, label, 0, 1.0 FROM s),
+  total AS (SELECT shard, i, sum(v) AS v FROM x GROUP BY ALL), own AS (SELECT shard, i, label, sum(v) AS v FROM x GROUP BY ALL), c AS (SELECT unnest(range(10)) AS c),
+  g AS (SELECT total.shard, total.i, c.c, (total.v / 10 - coalesce(own.v, 0)) / size.rows AS g FROM total CROSS JOIN c JOIN size USING (shard) LEFT JOIN own ON own.shard = total.shard AND own.i = total.i AND own.label = c.c),
+  w AS (SELECT i, c, sum(-0.01 * g / (abs(g) + 1e-8) * rows) / sum(rows) AS w FROM g JOIN size USING (shard) GROUP BY ALL),
+  z AS (SELECT row_id, label, c, sum(v * w) AS z FROM x JOIN w USING (i) GROUP BY ALL)
+SELECT row_id, any_value(label)::INTEGER AS label, round(-ln(greatest(1e-12, max(CASE WHEN c = label THEN exp(z) END) / sum(exp(z)))), 6) AS loss, arg_max(c, z)::INTEGER AS predicted FROM z GROUP BY row_id""",
     "deem_history_labels": f"""{SNAP}, cs AS (SELECT row_id, label, c, avg(-ln(greatest(1e-12, p))) AS m, sqrt(greatest(sum(ln(greatest(1e-12, p)) * ln(greatest(1e-12, p))) / 3 - pow(sum(ln(greatest(1e-12, p))) / 3, 2), 0)) AS s FROM pk3 GROUP BY ALL),
 h AS (SELECT row_id, label, c, greatest(1 - 0.5 * ((m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ()) + (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ())), 1e-6) AS h FROM cs)
 SELECT row_id, round(max(h) FILTER (WHERE c = label) / sum(h), 6) AS observed_prob, round(max(h) / sum(h), 6) AS top FROM h GROUP BY row_id""",

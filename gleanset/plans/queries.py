@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanset.functions import vectors as V
 from gleanset.functions.hashing import hash_int, hash_order
-from gleanset.operators import boost, budget, coreset, distance, encode, kdtree, noise, quality, sample, scoring, select, stats, trees
+from gleanset.operators import boost, budget, coreset, coupled, distance, encode, kdtree, noise, quality, sample, scoring, select, stats, trained, trees
 from gleanset.sources import results
 from gleanset.sources.points import embeddings, lineitem_points
 
@@ -472,6 +472,25 @@ def quality_coreset(s, d):
     return coreset.quality_coreset(noisy, C, coreset.Config())[0].select("row_id", "label", r6(F.col("sample_weight"), "sample_weight"))
 
 
+def parallel_epoch(s, d):
+    """Losses after one data-parallel epoch from nothing: shards of about 100 rows step once each, models are averaged by rows."""
+    e = embeddings(s, d).select("row_id", "features", "label")
+    fit = coupled.Coupled(hidden=(), dropout=0.0, batch=1 << 20, rate=0.01, shard=100)
+    net = scoring.Mlp(stats.width(e), C, (), 0.0)
+    net = net.with_state(net.state() * 0, 0, fit.seed)
+    rows = e.select("row_id", "features", V.one_hot(F.col("label"), C).alias("soft_label"), F.lit(1.0).alias("sample_weight"))
+    net = coupled.epochs(coupled.dealt(rows, fit.shard), net, fit, 0, 1)[0][0]
+    out = scoring.with_probs(e, net)
+    return out.select("row_id", "label", r6(scoring.loss(F.col("probs"), F.col("label")), "loss"), V.argmax(F.col("probs")).alias("predicted"))
+
+
+def quality_training(s, d):
+    """The staged loop over noisy embeddings on a network that trains as it goes: the coreset of its last stage."""
+    noisy = noise.random_noise(embeddings(s, d), 0.2, C).select("row_id", "features", "label")
+    fit = coupled.Coupled(hidden=(256, 128), norm=True, warmup=5, interval=4, epochs=30, batch=256)
+    return trained.quality_training(noisy, C, trained.Trained(fraction=0.02, fit=fit)).coreset.select("row_id", "label", r6(F.col("sample_weight"), "sample_weight"))
+
+
 # Experiments.
 def experiment_pivot(s, d):
     o = _t(s, d, "orders")
@@ -513,6 +532,6 @@ QUERIES = {
         deem_blend_labels, deem_history_labels, dirty_detection, label_candidates, soft_label_ema, label_decision, feature_core_concentration, mixed_and_clean_weights,
         nearest_center_map, kd_map, coreset_weights, coreset_error, deem_topk_cosine, herding_per_class, goodcore_greedy, weighted_coverage, gradmatch_omp,
         random_trial_coreset, incremental_blocks, rep_replacement, farthest_first, coreset_slice, leaf_homogeneity, coretab_groups, coretab_thinned,
-        boosted_leaves, coretab_datamap, pipeline_misdetect_coretab, quality_coreset, experiment_pivot, experiment_transpose, job_matrix, training_overlay,
+        boosted_leaves, coretab_datamap, pipeline_misdetect_coretab, quality_coreset, parallel_epoch, quality_training, experiment_pivot, experiment_transpose, job_matrix, training_overlay,
     )
 }

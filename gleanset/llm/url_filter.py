@@ -24,7 +24,7 @@ from ._spark import Scratch, load
 # The letters that are lower-cased.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The rules of the query (host, path, verdict).
-RULES = (("org", "/", "allow"), ("example.org", "/es/", "allow"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: What urls without any rule get, if they have a host.
 OTHERWISE = "allow"
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+from gleanset.llm import url_filter as url_filter_module
 from gleanset.llm.url_filter import url_filter
 
 
@@ -52,3 +53,13 @@ def test_empty_tables_and_no_python(spark):
     out = url_filter(pages, spark.sql("SELECT 'a' AS host, '/' AS path, 'block' AS verdict"))
     assert not any(x in out._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
     assert {r.rule for r in out.collect()} == {"a/"}
+
+
+def test_rules_and_verdicts_of_the_contract(spark, tmp_path):
+    listed = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+    assert {h + p: v for h, p, v in url_filter_module.RULES} == listed
+    assert len(url_filter_module.RULES) == len(listed)
+    urls = [u for r in listed for u in (f"http://{r}", f"https://sub.{r}x?y")]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter_module.query(spark, str(tmp_path)).collect()}
+    assert got == {i: (r, listed[r]) for i, r in enumerate(r for r in listed for _ in range(2))}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanset.functions import vectors as V
@@ -44,9 +44,43 @@ def mode(df: DataFrame, column: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, column: str, qs: list[float], by: str | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, of the whole table or of each value of ``by``."""
-    e = [F.percentile(column, F.lit(q)).alias(f"q{round(q * 100)}") for q in qs]
-    return df.groupBy(by).agg(*e) if by else df.agg(*e)
+    """Exact quantiles with linear interpolation, of the whole table or of each value of ``by``; nulls don't count.
+
+    Distinct values are counted and dealt into ranges of (group, value); counts of the ranges before tell a range its first place, so
+    that no task holds a group. Of each group only the two values around each quantile are gathered.
+    """
+    keys = [by] if by else []
+    group = F.col(by) if by else F.lit(0)
+    counted = df.groupBy(group.alias("__by"), F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(counted.repartitionByRange(ranges, "__by", "__v").withColumn("__range", F.spark_partition_id()))
+    seen = dealt.where("__v IS NOT NULL")
+    # A row for each range and group in it.
+    earlier = Window.partitionBy("__by").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = seen.groupBy("__range", "__by").agg(F.sum("__n").alias("__in"))
+    sums = sums.select("__range", "__by", F.coalesce(F.sum("__in").over(earlier), F.lit(0)).alias("__before"), F.sum("__in").over(Window.partitionBy("__by")).alias("__all"))
+    sums = sums.select(F.col("__range").alias("__r"), F.col("__by").alias("__g"), "__before", "__all")
+    placed = seen.join(F.broadcast(sums), (F.col("__range") == F.col("__r")) & F.col("__by").eqNullSafe(F.col("__g")))
+    inside = Window.partitionBy("__range", "__by").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__end") - F.col("__n") <= place) & (place < F.col("__end")), F.col("__v")))
+
+    found = []
+    for i, q in enumerate(qs):
+        place = F.lit(float(q)) * (F.col("__all") - 1)
+        found += [at(F.floor(place)).alias(f"__lo{i}"), at(F.ceil(place)).alias(f"__hi{i}"), F.max(place).alias(f"__at{i}")]
+    values = []
+    for i, q in enumerate(qs):
+        lo, hi, place = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__at{i}")
+        between = (F.ceil(place) - place) * lo + (place - F.floor(place)) * hi
+        values.append(F.when(lo == hi, lo).otherwise(between).alias(f"q{round(q * 100)}"))
+    found = placed.groupBy("__by").agg(*found)
+    # Groups without any value, and an empty table, have null quantiles.
+    groups = dealt.select("__by").distinct().withColumnRenamed("__by", "__g") if by else df.sparkSession.range(1).select(F.lit(0).alias("__g"))
+    out = groups.join(found, F.col("__g").eqNullSafe(F.col("__by")), "left")
+    return out.select(*[F.col("__g").alias(k) for k in keys], *values)
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -141,3 +141,32 @@ def test_recent_drops(spark):
         want[k] = (min(c[: n or len(c)]), n or len(c), n is not None)
     assert {r.k: (r.best_loss, r.steps, r.stopped) for r in stats.recent_drop_stop(df, "k", "e", "l", 3, 0.01).collect()} == want
     assert {k for k, v in want.items() if v[2]} == {1, 2, 5, 6}
+
+
+def test_a_stage_repairs_all_detected_rows(spark):
+    """A fifth of the rows lies at the boundary by their first column; none of them has another label to take."""
+    n = 1500
+    y = np.arange(n) % 2
+    x = np.random.default_rng(4).standard_normal((n, 4)) * 0.1
+    x[:, 0] += np.where(np.arange(n) < n // 5, 0.1, 1.0) * (2 * y - 1)
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(n)], "row_id bigint, features array<double>, label int")
+    config = coreset.Config(dirty_std=1.0, tau=1.0)
+    state, report = coreset.stage(coreset.first_state(rows), 2, 1, config)
+    moved = state.join(rows.withColumnRenamed("features", "old"), "row_id").where("features <> old").select("row_id").collect()
+    assert report["dirty"] == n // 5 and report["repaired"] > 250 and len(moved) == report["repaired"] and max(r.row_id for r in moved) < n // 5
+
+
+def test_rows_are_repaired_each_by_itself(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(6).tolist(), np.eye(3)[i % 3].tolist(), [0, 4, 5][: 1 + i % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id bigint, features array<double>, target array<double>, core array<int>").coalesce(1)
+    models = [scoring.Mlp(6, 3, (8,), seed=k) for k in range(2)]
+    config = coreset.Config(step=0.3)
+    together = {r.row_id: (r.repaired, r.gain) for r in coreset.repaired_features(df, models, config).collect()}
+    alone = {i: coreset.repaired_features(df.where(f"row_id = {i}"), models, config).first() for i in range(0, 40, 7)}
+    assert all(together[i][0] == pytest.approx(r.repaired) and together[i][1] == pytest.approx(r.gain) for i, r in alone.items())
+    for i, x, q, core in rows:
+        x, q, best = np.array(x), np.array(q), together[i][0]
+        loss = lambda v: float(np.mean([-(q * np.log(m.probs(np.array(v)[None])[0])).sum() for m in models]))  # noqa: B023, E731
+        assert together[i][1] == pytest.approx((loss(x) - loss(best)) / loss(x)) and np.array_equal(np.delete(best, core), np.delete(x, core))
+    assert min(g for _, g in together.values()) >= 0 and max(g for _, g in together.values()) > 0.3
